@@ -47,3 +47,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def sized_broadcast(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
+    """Mark a side for broadcast only when its counted rows stay under the bound.
+
+    ``df`` should be durable or cached, since it is counted here unless ``rows``
+    is given. Beyond the bound the side is returned unmarked and the join shuffles.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= max_rows else df
