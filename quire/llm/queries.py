@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import scans, scripts
+from quire.llm import leaks, neardup, pieces, scans, scripts
 from quire.sources.tables import table
 
 
@@ -25,6 +25,34 @@ def p3_consistent(spark: SparkSession, root: str) -> DataFrame:
     return scripts.consistent(blocks, "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_consistent": p3_consistent}
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.found(table(spark, root, "blocks"))
+
+
+def p4_classes(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.classes(table(spark, root, "blocks"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.found(table(spark, root, "chunks"))
+
+
+def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.within(table(spark, root, "chunks"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.found(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.report(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_consistent": p3_consistent,
+    "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_pieces": p6_pieces,
+    "p8_found": p8_found, "p8_report": p8_report,
+}
 
 SQL: dict[str, str] = {}
