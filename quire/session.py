@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,28 @@ def local_session(app: str = "quire", cores: str = "*", partitions: int = 8) ->
     )
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for cuts; a temporary one only where the session names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a wide intermediate once as a compressed table in the shared folder and read it back.
+
+    For texts that several branches scan: columnar, so a branch reads only the
+    columns it needs, and independent of the executors that wrote it.
+    """
+    path = f"{_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
@@ -29,10 +52,7 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     where that is unset and no folder was set by hand (tests) a temporary one is
     made. The files outlive lost executors.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
