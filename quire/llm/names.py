@@ -64,11 +64,12 @@ for _full, _short in NICKNAMES.items():
         SHORT_OF.setdefault(_s, []).append(_full)
 
 
-def fold(text: str) -> str:
-    """Lower case without accents; ``ä``, ``ae`` and ``a`` are one letter, likewise ``ö`` and ``ü``."""
+def fold(text: str, digraphs: bool = True) -> str:
+    """Lower case without accents; with ``digraphs``, ``ae``, ``oe`` and ``ue`` count as ``ä``, ``ö`` and ``ü``."""
     t = text.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("Ł", "L").replace("æ", "ae").replace("Æ", "Ae")
     t = "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).lower()
-    return re.sub("([aou])e", r"\1", re.sub(r"[^\w\s]", "", t))
+    t = re.sub(r"[^\w\s]", "", t)
+    return re.sub("([aou])e", r"\1", t) if digraphs else t
 
 
 def clean(name: str) -> str:
@@ -199,7 +200,8 @@ def _readings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((name, "o", given, surname, given, [], [], order, True))
                 elif _key(surname):
                     g = given_of(given)
-                    rows.append((name, "p", g, _key(surname), g[:1], full_names(g), short_initials(g), order, sure))
+                    for key in sorted({_key(surname), re.sub(r"\s+", "", fold(surname, False))}):
+                        rows.append((name, "p", g, key, g[:1], full_names(g), short_initials(g), order, sure))
         yield pd.DataFrame(rows, columns=["name", "kind", "given", "surname", "initial", "full", "short", "turned", "sure"])
 
 

@@ -4,8 +4,8 @@ Each repaired text becomes the set of its distinct three-word sequences. Texts
 with equal word sequences are one class; only one text of a class goes on. Sets
 are ordered by one global order, rarest sequence first. Two sets that reach the
 threshold share a sequence within their prefixes, so classes meet on prefix
-sequences; length, position and a bitmap bound drop most meetings inside the
-join. The sets of those that remain are stored, per left class, in a trie in
+sequences; length and position bounds drop most meetings where they arise, and
+only pairs that meet often enough go on. The sets of those that remain are stored, per left class, in a trie in
 global order, and the left set walks the trie: sets that begin alike share the
 partial overlap, and a subtree is cut when the overlap so far plus what can
 still come on either side stays below what the threshold needs.
@@ -22,10 +22,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm import scans
 from quire.llm.scripts import canonical_text
-from quire.session import durable, sized_broadcast, spread
+from quire.session import durable, sized_broadcast, spread, stored
 
 #: Cells of the histogram that fixes the global order; its size never depends on the data.
 CELLS = 1 << 18
+#: Sequences that two sets must share in their prefixes, which are longer by one less.
+SHARED = 3
+#: Rows of one sequence that make a block; more rows make more blocks.
+CROWD = 20_000
+#: Positions and sizes are exact up to here; larger sets pass the bounds unpruned.
+CLIP = 0x7FFF
 #: Ids that are broadcast at most (about 40 bytes each); beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -125,7 +131,12 @@ def _histogram(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(cells, part: int, of: int):
-    """Batches of (class_id, grams) to rows of (gram, class_id, at, size, bits) for each prefix sequence."""
+    """Batches of (class_id, grams) to rows of (gram, block, class_id, at_size, own) for each prefix sequence.
+
+    ``block`` is 0 but for sequences of crowded cells: their rows are dealt to
+    blocks, and each row goes to every pair of blocks that holds its own, so no
+    task gets more than two blocks of one sequence and every two rows meet once.
+    """
 
     def run(batches):
         counts = cells.value
@@ -136,20 +147,77 @@ def _prefixes(cells, part: int, of: int):
             if not len(flat):
                 continue
             row = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((flat, counts[flat % np.uint64(CELLS)], row))
-            flat, row = flat[order], row[order]
-            starts = np.cumsum(sizes) - sizes
-            at = np.arange(len(flat)) - starts[row]
-            bits = np.zeros(len(sizes), np.uint64)
-            np.bitwise_xor.at(bits, row, np.uint64(1) << (flat >> np.uint64(58)))
-            # A partner of overlap >= part/of of the union overlaps at least part/of of this set.
+            cell = counts[flat % np.uint64(CELLS)]
+            order = np.lexsort((flat, cell, row))
+            flat, row, cell = flat[order], row[order], cell[order]
+            at = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
+            # A partner of overlap >= part/of of the union overlaps at least part/of of this set;
+            # the prefix is long enough that the two share at least SHARED sequences in it.
             need = -(-sizes * part // of)
-            first = at < (sizes - need + 1)[row]
-            r = row[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[first].view(np.int64)), pa.array(ids[r]), pa.array(at[first].astype(np.int32)), pa.array(sizes[r].astype(np.int32)), pa.array(bits[r].view(np.int64))],
-                names=["gram", "class_id", "at", "size", "bits"],
-            )
+            first = at < (sizes - np.maximum(need - SHARED, 0))[row]
+            flat, row, cell, at = flat[first], row[first], cell[first], at[first]
+            ids_, packed = ids[row], (np.minimum(at, CLIP).astype(np.int64) << 16 | np.minimum(sizes[row], CLIP)).astype(np.int32)
+            gram, block = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(flat), np.int32)
+            blocks, deal = np.minimum(-(-cell // CROWD), 1 << 14), np.zeros(len(flat), np.int16)
+            if (hot := blocks > 1).any():
+                pieces = [(gram[~hot], block[~hot], ids_[~hot], packed[~hot], deal[~hot])]
+                g, k, i, p = gram[hot], blocks[hot], ids_[hot], packed[hot]
+                own = (_mix(i.view(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
+                r = np.repeat(np.arange(len(g)), k)
+                other = np.arange(len(r)) - np.repeat(np.cumsum(k) - k, k)
+                pair = (np.minimum(own[r], other) << 16 | np.maximum(own[r], other)) + 1
+                pieces.append((g[r], pair.astype(np.int32), i[r], p[r], own[r].astype(np.int16)))
+                gram, block, ids_, packed, deal = (np.concatenate(c) for c in zip(*pieces))
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), pa.array(ids_), pa.array(packed), pa.array(deal)], names=["gram", "block", "class_id", "at_size", "own"])
+
+    return run
+
+
+def _meetings(part: int, of: int):
+    """Rows sorted by (gram, block) to the pairs (a, b) that meet and keep within length and position bounds."""
+
+    def pairs(gram, block, ids, packed, own):
+        at, size = packed >> 16, packed & 0xFFFF
+        d = 1
+        while d < len(gram):
+            same = np.nonzero((gram[d:] == gram[:-d]) & (block[d:] == block[:-d]))[0]
+            if not len(same):
+                return
+            i, j = same, same + d
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            least = -(-(size[i] + size[j]) * part // (part + of))
+            rest = np.minimum(size[i] - at[i], size[j] - at[j])
+            # At the k-th shared sequence k - 1 are behind, so the bound gives way by SHARED - 1.
+            keep = ((small * of >= large * part) & (rest >= least - SHARED + 1)) | (large >= CLIP)
+            keep &= ids[i] != ids[j]
+            if (block[i] > 0).any():
+                # Two rows of one block meet under every pair of blocks with theirs; only the pair of both their own counts.
+                lo, hi = (block[i] - 1) >> 16, (block[i] - 1) & 0xFFFF
+                keep &= (block[i] == 0) | ((np.minimum(own[i], own[j]) == lo) & (np.maximum(own[i], own[j]) == hi))
+            i, j = i[keep], j[keep]
+            if len(i):
+                # Sets too small to share SHARED sequences need one meeting only.
+                n = np.where(-(-small[keep] * part // of) < SHARED, SHARED, 1).astype(np.int32)
+                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), n
+            d += 1
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            now = [b.column(c).to_numpy() for c in range(5)]
+            if held is not None:
+                now = [np.concatenate([h, n]) for h, n in zip(held, now)]
+            if not len(now[0]):
+                continue
+            # The last group may go on in the next batch.
+            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
+            cut = int(np.argmax(last))
+            held = [c[cut:] for c in now]
+            for got in pairs(*[x[:cut] for x in now]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b", "n"])
+        if held is not None:
+            for got in pairs(*held):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b", "n"])
 
     return run
 
@@ -186,7 +254,7 @@ def walk(left: list[int], others: dict[int, list[int]], part: int, of: int) -> l
 
 
 def _verify(cells, part: int, of: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         counts = cells.value
 
         def ordered(grams):
@@ -215,20 +283,10 @@ def similar_classes(sets: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFr
     copies = durable(members.join(first, ["class_id", "id"], "left_anti"))
     one = sets.join(sized_broadcast(copies, BROADCAST_ROWS), ["id", "class_id"], "left_anti").select("class_id", "grams")
     cells = sc.broadcast(_histogram(one))
-    rows = one.mapInArrow(_prefixes(cells, part, of), "gram long, class_id long, at int, size int, bits long")
-    left, right = rows.alias("l"), rows.alias("r")
-    least = F.ceil((F.col("l.size") + F.col("r.size")) * part / F.lit(part + of))
-    rest = F.least(F.col("l.size") - F.col("l.at"), F.col("r.size") - F.col("r.at"))
-    # Each cell of the bitmap is the parity of its elements: differing cells are elements not shared.
-    by_bits = (F.col("l.size") + F.col("r.size") - F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits")))) / 2
-    meet = (
-        (F.col("l.gram") == F.col("r.gram"))
-        & (F.col("l.class_id") < F.col("r.class_id"))
-        & (F.least("l.size", "r.size") * of >= F.greatest("l.size", "r.size") * part)
-        & (rest >= least)
-        & (by_bits >= least)
-    )
-    candidates = durable(left.join(right, meet).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct())
+    rows = one.mapInArrow(_prefixes(cells, part, of), "gram int, block int, class_id long, at_size int, own short")
+    met = rows.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(_meetings(part, of), "a long, b long, n int")
+    # Similar sets share at least SHARED sequences within their prefixes; chance meetings rarely do.
+    candidates = durable(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"))
     ids = durable(candidates.select(F.explode(F.array("a", "b")).alias("class_id")).distinct())
     needed = durable(one.join(sized_broadcast(ids, BROADCAST_ROWS), "class_id", "left_semi").dropDuplicates(["class_id"]))
     pairs = (
@@ -243,7 +301,7 @@ def similar_classes(sets: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFr
 def passages(blocks: DataFrame) -> DataFrame:
     """The comparable sets of TEXT blocks, written once."""
     own = blocks.where((F.col("block_type") == "TEXT") & F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", "text")
-    return durable(gram_sets(spread(own).withColumn("text", repaired(own)), "block_id", "text"))
+    return stored(gram_sets(spread(own).withColumn("text", repaired(own)), "block_id", "text"))
 
 
 def found(blocks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import leaks, neardup, pieces, scans, scripts
+from quire.llm import languages, leaks, names, neardup, pieces, scans, scripts
 from quire.sources.tables import table
 
 
@@ -33,6 +33,26 @@ def p4_classes(spark: SparkSession, root: str) -> DataFrame:
     return neardup.classes(table(spark, root, "blocks"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.found(table(spark, root, "papers"), table(spark, root, "provider_records"))
+
+
+def p5_entities(spark: SparkSession, root: str) -> DataFrame:
+    return names.linked(table(spark, root, "papers"), table(spark, root, "provider_records"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return languages.found(table(spark, root, "documents"))
+
+
+def p10_segments(spark: SparkSession, root: str) -> DataFrame:
+    return languages.segments(table(spark, root, "documents"))
+
+
+def p10_labels(spark: SparkSession, root: str) -> DataFrame:
+    return languages.labels(table(spark, root, "documents"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return pieces.found(table(spark, root, "chunks"))
 
@@ -52,7 +72,8 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_consistent": p3_consistent,
     "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_pieces": p6_pieces,
-    "p8_found": p8_found, "p8_report": p8_report,
+    "p5_found": p5_found, "p5_entities": p5_entities, "p8_found": p8_found, "p8_report": p8_report,
+    "p10_found": p10_found, "p10_segments": p10_segments, "p10_labels": p10_labels,
 }
 
 SQL: dict[str, str] = {}
