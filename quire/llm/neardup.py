@@ -24,10 +24,10 @@ from quire.llm import scans
 from quire.llm.scripts import canonical_text
 from quire.session import durable, sized_broadcast, spread, stored
 
-#: Cells of the histogram that fixes the global order; its size never depends on the data.
-CELLS = 1 << 18
+#: Cells of the histogram that fixes the global order, and how they are sent; the size never depends on the data.
+CELLS, CHUNK = 1 << 20, 1 << 10
 #: Sequences that two sets must share in their prefixes, which are longer by one less.
-SHARED = 3
+SHARED = 2
 #: Rows of one sequence that make a block; more rows make more blocks.
 CROWD = 20_000
 #: Positions and sizes are exact up to here; larger sets pass the bounds unpruned.
@@ -44,6 +44,15 @@ def repaired(blocks: DataFrame) -> Column:
     return scans.join_cuts(kept)
 
 
+class _Blanks(dict):
+    """Translation table: lower-case letters, digits and ``_`` stay, anything else is a blank."""
+
+    def __missing__(self, code: int) -> int:
+        ch = chr(code)
+        self[code] = code if ch.isalnum() or ch == "_" else 32
+        return self[code]
+
+
 def _word_hash(word: str) -> int:
     import hashlib
 
@@ -57,17 +66,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(min_words: int, n: int):
-    """Batches of (id, words joined by blanks) to (id, class_id, grams)."""
+    """Batches of (id, text) to (id, class_id, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
+        blanks = _Blanks()
         for batch in batches:
             if len(cache) > 500_000:
                 cache.clear()
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             keep, lengths, flat = [], [], []
             for i, text in enumerate(texts):
-                words = text.split() if text else []
+                words = text.lower().translate(blanks).split() if text else []
                 if len(words) < min_words:
                     continue
                 keep.append(i)
@@ -102,36 +112,47 @@ def _grams(min_words: int, n: int):
 
 
 def gram_sets(df: DataFrame, id_col: str, text: str, min_words: int = 24, n: int = 3) -> DataFrame:
-    """(id, class_id, grams): the distinct n-word sequences of each text of enough words, as hashes.
+    """(id, class_id, grams, row), written once: the distinct n-word sequences of each text of enough words, as hashes.
 
     Case, punctuation and spacing do not count. ``class_id`` is equal for equal
     word sequences. Null, empty and shorter texts give no row.
     """
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
-    source = df.select(F.col(id_col).alias("id"), words.alias("words")).where("words is not null and id is not null")
+    source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
     kind = df.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(_grams(min_words, n), f"id {kind}, class_id long, grams array<long>")
+    out = source.mapInArrow(_grams(min_words, n), f"id {kind}, class_id long, grams array<long>")
+    # A short number for each row, fixed once the table is written.
+    return stored(out.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _histogram(sets: DataFrame) -> np.ndarray:
-    """How many sets hold each cell of sequences; a fixed number of cells, whatever the data."""
+    """How many sets hold each cell of sequences; a fixed number of cells, whatever the data.
+
+    Each task sends its cells densely, two bytes each; the sums come to the driver
+    as one array of ``CELLS`` numbers. It only orders the sequences, so a task's
+    count may saturate.
+    """
 
     def count(batches):
         cells = np.zeros(CELLS, np.int64)
         for b in batches:
             cells += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
-        at = np.nonzero(cells)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
+        if cells.any():
+            dense = np.minimum(cells, 65535).astype(np.uint16).reshape(-1, CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(dense)), pa.int32()), pa.array([c.tobytes() for c in dense])], names=["chunk", "counts"])
 
-    rows = sets.select("grams").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()
-    out = np.zeros(CELLS, np.int64)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in pdf["counts"])
+        return pd.DataFrame({"chunk": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    rows = sets.select("grams").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
+    out = np.zeros((CELLS // CHUNK, CHUNK), np.int32)
+    for r in rows.collect():
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
 
 
 def _prefixes(cells, part: int, of: int):
-    """Batches of (class_id, grams) to rows of (gram, block, class_id, at_size, own) for each prefix sequence.
+    """Batches of (row, grams) to rows of (gram, block, row, at_size, own) for each prefix sequence.
 
     ``block`` is 0 but for sequences of crowded cells: their rows are dealt to
     blocks, and each row goes to every pair of blocks that holds its own, so no
@@ -168,7 +189,7 @@ def _prefixes(cells, part: int, of: int):
                 pair = (np.minimum(own[r], other) << 16 | np.maximum(own[r], other)) + 1
                 pieces.append((g[r], pair.astype(np.int32), i[r], p[r], own[r].astype(np.int16)))
                 gram, block, ids_, packed, deal = (np.concatenate(c) for c in zip(*pieces))
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), pa.array(ids_), pa.array(packed), pa.array(deal)], names=["gram", "block", "class_id", "at_size", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), pa.array(ids_), pa.array(packed), pa.array(deal)], names=["gram", "block", "row", "at_size", "own"])
 
     return run
 
@@ -263,9 +284,9 @@ def _verify(cells, part: int, of: int):
 
         left = ordered(pdf["left_grams"].iloc[0])
         hits = walk(left, {b: ordered(g) for b, g in zip(pdf["b"], pdf["grams"])}, part, of)
-        sizes = dict(zip(pdf["b"], pdf["grams"].map(len)))
-        a = pdf["a"].iloc[0]
-        rows = [(a, b, o, o / (len(left) + sizes[b] - o)) for b, o in hits]
+        of_row = {b: (c, len(g)) for b, c, g in zip(pdf["b"], pdf["class_b"], pdf["grams"])}
+        a = pdf["class_a"].iloc[0]
+        rows = [(a, of_row[b][0], o, o / (len(left) + of_row[b][1] - o)) for b, o in hits]
         return pd.DataFrame(rows, columns=["a", "b", "overlap", "similarity"])
 
     return run
@@ -274,34 +295,34 @@ def _verify(cells, part: int, of: int):
 def similar_classes(sets: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): class of each id, and the pairs of classes at or over ``part/of``.
 
-    ``sets`` must be durable. Pairs have a < b with overlap and similarity; ids of
+    ``sets`` come from :func:`gram_sets`. Pairs have a < b with overlap and similarity; ids of
     one class hold the same text and need no pair. No pair is capped or dropped.
     """
     sc = sets.sparkSession.sparkContext
     members = sets.select("id", "class_id").distinct()
-    first = sets.groupBy("class_id").agg(F.min("id").alias("id"))
-    copies = durable(members.join(first, ["class_id", "id"], "left_anti"))
-    one = sets.join(sized_broadcast(copies, BROADCAST_ROWS), ["id", "class_id"], "left_anti").select("class_id", "grams")
+    first = sets.groupBy("class_id").agg(F.min("row").alias("row"))
+    copies = durable(sets.select("class_id", "row").join(first, ["class_id", "row"], "left_anti").select("row"))
+    one = sets.join(sized_broadcast(copies, BROADCAST_ROWS), "row", "left_anti")
     cells = sc.broadcast(_histogram(one))
-    rows = one.mapInArrow(_prefixes(cells, part, of), "gram int, block int, class_id long, at_size int, own short")
+    rows = one.select("row", "grams").mapInArrow(_prefixes(cells, part, of), "gram int, block int, row long, at_size int, own short")
     met = rows.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(_meetings(part, of), "a long, b long, n int")
     # Similar sets share at least SHARED sequences within their prefixes; chance meetings rarely do.
     candidates = durable(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"))
-    ids = durable(candidates.select(F.explode(F.array("a", "b")).alias("class_id")).distinct())
-    needed = durable(one.join(sized_broadcast(ids, BROADCAST_ROWS), "class_id", "left_semi").dropDuplicates(["class_id"]))
+    rows_met = durable(candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    needed = stored(one.join(sized_broadcast(rows_met, BROADCAST_ROWS), "row", "left_semi").select("row", "class_id", "grams"))
     pairs = (
-        candidates.join(needed.select(F.col("class_id").alias("b"), "grams"), "b")
-        .join(needed.select(F.col("class_id").alias("a"), F.col("grams").alias("left_grams")), "a")
+        candidates.join(needed.select(F.col("row").alias("b"), F.col("class_id").alias("class_b"), "grams"), "b")
+        .join(needed.select(F.col("row").alias("a"), F.col("class_id").alias("class_a"), F.col("grams").alias("left_grams")), "a")
         .groupBy("a")
         .applyInPandas(_verify(cells, part, of), "a long, b long, overlap int, similarity double")
     )
-    return members, pairs
+    return members, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap", "similarity")
 
 
 def passages(blocks: DataFrame) -> DataFrame:
     """The comparable sets of TEXT blocks, written once."""
     own = blocks.where((F.col("block_type") == "TEXT") & F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", "text")
-    return stored(gram_sets(spread(own).withColumn("text", repaired(own)), "block_id", "text"))
+    return gram_sets(spread(own).withColumn("text", repaired(own)), "block_id", "text")
 
 
 def found(blocks: DataFrame) -> DataFrame:
