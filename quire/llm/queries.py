@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import languages, leaks, names, neardup, pieces, scans, scripts
+from quire.llm import languages, leaks, mixing, names, neardup, pieces, scans, scripts, works
 from quire.sources.tables import table
 
 
@@ -61,6 +61,22 @@ def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
     return pieces.within(table(spark, root, "chunks"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return works.found(table(spark, root, "provider_records"))
+
+
+def p7_matches(spark: SparkSession, root: str) -> DataFrame:
+    return works.matched(table(spark, root, "provider_records"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(table(spark, root, "documents"), table(spark, root, "source_targets"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.found(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
@@ -73,6 +89,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p3_consistent": p3_consistent,
     "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_pieces": p6_pieces,
     "p5_found": p5_found, "p5_entities": p5_entities, "p8_found": p8_found, "p8_report": p8_report,
+    "p7_found": p7_found, "p7_matches": p7_matches, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_segments": p10_segments, "p10_labels": p10_labels,
 }
 
