@@ -26,8 +26,8 @@ from quire.session import durable, sized_broadcast, spread, stored
 
 #: Cells of the histogram that fixes the global order, and how they are sent; the size never depends on the data.
 CELLS, CHUNK = 1 << 20, 1 << 10
-#: Sequences that two sets must share in their prefixes, which are longer by one less.
-SHARED = 2
+#: Meetings of two sets within their prefixes that are asked for, unless their sizes make fewer due.
+SHARED = 3
 #: Rows of one sequence that make a block; more rows make more blocks.
 CROWD = 20_000
 #: Positions and sizes are exact up to here; larger sets pass the bounds unpruned.
@@ -95,17 +95,13 @@ def _grams(min_words: int, n: int):
             g = h[: len(h) - n + 1].copy() if len(h) >= n else np.empty(0, np.uint64)
             for k in range(1, n):
                 g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-            g = _mix(g)
+            g = (_mix(g) >> np.uint64(32)).astype(np.uint32)
             whole = np.add.reduceat(_mix(h + np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(h)) - np.repeat(starts, lengths)).astype(np.uint64)), starts)
-            out, sizes = [], []
+            out = []
             for a, b in zip(starts, ends):
-                u = np.unique(g[a : max(a, b - n + 1)])
-                out.append(u)
-                sizes.append(len(u))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).view(np.int64)))
+                out.append(np.unique(g[a : max(a, b - n + 1)]).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(keep)), pa.array(whole.view(np.int64)), grams], names=["id", "class_id", "grams"]
+                [ids.take(pa.array(keep)), pa.array(whole.view(np.int64)), pa.array(out, pa.binary())], names=["id", "class_id", "grams"]
             )
 
     return run
@@ -119,11 +115,17 @@ def gram_sets(df: DataFrame, id_col: str, text: str, min_words: int = 24, n: int
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
     kind = df.schema[id_col].dataType.simpleString()
-    out = source.mapInArrow(_grams(min_words, n), f"id {kind}, class_id long, grams array<long>")
+    out = source.mapInArrow(_grams(min_words, n), f"id {kind}, class_id long, grams binary")
     # A short number for each row, fixed once the table is written.
     return stored(out.withColumn("row", F.monotonically_increasing_id()))
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences of a column of sets in one array, and the size of each set."""
+    sets = column.to_pylist()
+    return np.frombuffer(b"".join(sets), np.uint32), np.array([len(x) // 4 for x in sets], np.int64)
+
+
 def _histogram(sets: DataFrame) -> np.ndarray:
     """How many sets hold each cell of sequences; a fixed number of cells, whatever the data.
 
@@ -135,7 +137,7 @@ def _histogram(sets: DataFrame) -> np.ndarray:
     def count(batches):
         cells = np.zeros(CELLS, np.int64)
         for b in batches:
-            cells += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
+            cells += np.bincount(_flat(b.column(0))[0] % np.uint32(CELLS), minlength=CELLS)
         if cells.any():
             dense = np.minimum(cells, 65535).astype(np.uint16).reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(dense)), pa.int32()), pa.array([c.tobytes() for c in dense])], names=["chunk", "counts"])
@@ -162,23 +164,21 @@ def _prefixes(cells, part: int, of: int):
     def run(batches):
         counts = cells.value
         for b in batches:
-            ids, grams = b.column(0).to_numpy(), b.column(1)
-            flat = grams.flatten().to_numpy().view(np.uint64)
-            sizes = np.diff(grams.offsets.to_numpy())
+            ids, (flat, sizes) = b.column(0).to_numpy(), _flat(b.column(1))
             if not len(flat):
                 continue
             row = np.repeat(np.arange(len(sizes)), sizes)
-            cell = counts[flat % np.uint64(CELLS)]
+            cell = counts[flat % np.uint32(CELLS)]
             order = np.lexsort((flat, cell, row))
             flat, row, cell = flat[order], row[order], cell[order]
             at = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
             # A partner of overlap >= part/of of the union overlaps at least part/of of this set;
-            # the prefix is long enough that the two share at least SHARED sequences in it.
+            # beyond this prefix there are too few elements left to make up for sharing none in it.
             need = -(-sizes * part // of)
-            first = at < (sizes - np.maximum(need - SHARED, 0))[row]
+            first = at < (sizes - need + 1)[row]
             flat, row, cell, at = flat[first], row[first], cell[first], at[first]
             ids_, packed = ids[row], (np.minimum(at, CLIP).astype(np.int64) << 16 | np.minimum(sizes[row], CLIP)).astype(np.int32)
-            gram, block = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(flat), np.int32)
+            gram, block = flat.view(np.int32), np.zeros(len(flat), np.int32)
             blocks, deal = np.minimum(-(-cell // CROWD), 1 << 14), np.zeros(len(flat), np.int16)
             if (hot := blocks > 1).any():
                 pieces = [(gram[~hot], block[~hot], ids_[~hot], packed[~hot], deal[~hot])]
@@ -217,8 +217,10 @@ def _meetings(part: int, of: int):
                 keep &= (block[i] == 0) | ((np.minimum(own[i], own[j]) == lo) & (np.maximum(own[i], own[j]) == hi))
             i, j = i[keep], j[keep]
             if len(i):
-                # Sets too small to share SHARED sequences need one meeting only.
-                n = np.where(-(-small[keep] * part // of) < SHARED, SHARED, 1).astype(np.int32)
+                # What two sets share outside their prefixes lies in the rest of one of them, so at least
+                # this many meetings are due; where that is less than SHARED a meeting counts for more.
+                due = least[keep] - (-(-large[keep] * part // of)) + 1
+                n = np.where(large[keep] >= CLIP, SHARED, -(-SHARED // np.clip(due, 1, SHARED))).astype(np.int32)
                 yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), n
             d += 1
 
@@ -279,14 +281,16 @@ def _verify(cells, part: int, of: int):
         counts = cells.value
 
         def ordered(grams):
-            u = np.asarray(grams, dtype=np.int64).view(np.uint64)
-            return u[np.lexsort((u, counts[u % np.uint64(CELLS)]))].tolist()
-
-        left = ordered(pdf["left_grams"].iloc[0])
-        hits = walk(left, {b: ordered(g) for b, g in zip(pdf["b"], pdf["grams"])}, part, of)
-        of_row = {b: (c, len(g)) for b, c, g in zip(pdf["b"], pdf["class_b"], pdf["grams"])}
-        a = pdf["class_a"].iloc[0]
-        rows = [(a, of_row[b][0], o, o / (len(left) + of_row[b][1] - o)) for b, o in hits]
+            u = np.frombuffer(grams, np.uint32)
+            return u[np.lexsort((u, counts[u % np.uint32(CELLS)]))].tolist()
+
+        own = pdf["b"].isna()
+        left, a = ordered(pdf["grams"][own].iloc[0]), pdf["class_id"][own].iloc[0]
+        rest = pdf[~own]
+        others = {int(b): ordered(g) for b, g in zip(rest["b"], rest["grams"])}
+        name = {int(b): c for b, c in zip(rest["b"], rest["class_id"])}
+        hits = walk(left, others, part, of)
+        rows = [(a, name[b], o, o / (len(left) + len(others[b]) - o)) for b, o in hits]
         return pd.DataFrame(rows, columns=["a", "b", "overlap", "similarity"])
 
     return run
@@ -306,16 +310,15 @@ def similar_classes(sets: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFr
     cells = sc.broadcast(_histogram(one))
     rows = one.select("row", "grams").mapInArrow(_prefixes(cells, part, of), "gram int, block int, row long, at_size int, own short")
     met = rows.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(_meetings(part, of), "a long, b long, n int")
-    # Similar sets share at least SHARED sequences within their prefixes; chance meetings rarely do.
+    # Similar sets meet several times within their prefixes; chance meetings rarely repeat.
     candidates = durable(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"))
-    rows_met = durable(candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    needed = stored(one.join(sized_broadcast(rows_met, BROADCAST_ROWS), "row", "left_semi").select("row", "class_id", "grams"))
-    pairs = (
-        candidates.join(needed.select(F.col("row").alias("b"), F.col("class_id").alias("class_b"), "grams"), "b")
-        .join(needed.select(F.col("row").alias("a"), F.col("class_id").alias("class_a"), F.col("grams").alias("left_grams")), "a")
-        .groupBy("a")
-        .applyInPandas(_verify(cells, part, of), "a long, b long, overlap int, similarity double")
-    )
+    found_ = candidates.count()
+    # Each set goes to the pairs it is the right side of, and once to itself where it is a left side.
+    b_side = one.select(F.col("row").alias("b"), F.col("class_id").alias("class_id"), "grams").join(sized_broadcast(candidates, BROADCAST_ROWS, found_), "b")
+    lefts = sized_broadcast(candidates.select("a").distinct(), BROADCAST_ROWS, found_)
+    a_side = one.select(F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "class_id", "grams").join(lefts, "a", "left_semi")
+    both = a_side.unionByName(b_side.select("a", "b", "class_id", "grams"))
+    pairs = both.groupBy("a").applyInPandas(_verify(cells, part, of), "a long, b long, overlap int, similarity double")
     return members, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap", "similarity")
 
 
