@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quire.operators import units
-from quire.plans import retrieve
+from quire.plans import document, retrieve
 from quire.sources.tables import table
 
-PARTS = [retrieve]
+PARTS = [retrieve, document]
 
 
 def p1_found(spark, root):
