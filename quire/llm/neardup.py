@@ -30,6 +30,8 @@ CELLS, CHUNK = 1 << 20, 1 << 10
 SHARED = 3
 #: Rows of one sequence that make a block; more rows make more blocks.
 CROWD = 20_000
+#: Sets of one trie; more candidates of one set make more tries.
+TRIE_SETS = 5_000
 #: Positions and sizes are exact up to here; larger sets pass the bounds unpruned.
 CLIP = 0x7FFF
 #: Ids that are broadcast at most (about 40 bytes each); beyond, joins shuffle.
@@ -277,21 +279,47 @@ def walk(left: list[int], others: dict[int, list[int]], part: int, of: int) -> l
 
 
 def _verify(cells, part: int, of: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows sorted by a, its own row (null b) first, to (a, b, overlap, similarity) of the pairs over the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = cells.value
 
         def ordered(grams):
             u = np.frombuffer(grams, np.uint32)
             return u[np.lexsort((u, counts[u % np.uint32(CELLS)]))].tolist()
 
-        own = pdf["b"].isna()
-        left, a = ordered(pdf["grams"][own].iloc[0]), pdf["class_id"][own].iloc[0]
-        rest = pdf[~own]
-        others = {int(b): ordered(g) for b, g in zip(rest["b"], rest["grams"])}
-        name = {int(b): c for b, c in zip(rest["b"], rest["class_id"])}
-        hits = walk(left, others, part, of)
-        rows = [(a, name[b], o, o / (len(left) + len(others[b]) - o)) for b, o in hits]
-        return pd.DataFrame(rows, columns=["a", "b", "overlap", "similarity"])
+        now, left, name, others, names = None, None, None, {}, {}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+
+            def close():
+                if others:
+                    for b, overlap in walk(left, others, part, of):
+                        for column, value in zip(out, (name, names[b], overlap, overlap / (len(left) + len(others[b]) - overlap))):
+                            column.append(value)
+
+            for a, b, class_id, grams in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if a != now:
+                    close()
+                    now, others, names = a, {}, {}
+                if b is None:
+                    left, name = ordered(grams), class_id
+                else:
+                    others[b], names[b] = ordered(grams), class_id
+                    if len(others) == TRIE_SETS:  # a crowded left set is walked in several tries
+                        close()
+                        others, names = {}, {}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.float64())],
+                names=["a", "b", "overlap", "similarity"],
+            )
+        if others:
+            hits = walk(left, others, part, of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(hits), pa.int64()), pa.array([names[b] for b, _ in hits], pa.int64()), pa.array([o for _, o in hits], pa.int32()),
+                 pa.array([o / (len(left) + len(others[b]) - o) for b, o in hits], pa.float64())],
+                names=["a", "b", "overlap", "similarity"],
+            )
 
     return run
 
@@ -318,7 +346,8 @@ def similar_classes(sets: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFr
     lefts = sized_broadcast(candidates.select("a").distinct(), BROADCAST_ROWS, found_)
     a_side = one.select(F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "class_id", "grams").join(lefts, "a", "left_semi")
     both = a_side.unionByName(b_side.select("a", "b", "class_id", "grams"))
-    pairs = both.groupBy("a").applyInPandas(_verify(cells, part, of), "a long, b long, overlap int, similarity double")
+    grouped = both.select("a", "b", "class_id", "grams").repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first())
+    pairs = grouped.mapInArrow(_verify(cells, part, of), "a long, b long, overlap int, similarity double")
     return members, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap", "similarity")
 
 
