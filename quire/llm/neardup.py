@@ -115,7 +115,7 @@ def gram_sets(df: DataFrame, id_col: str, text: str, min_words: int = 24, n: int
     Case, punctuation and spacing do not count. ``class_id`` is equal for equal
     word sequences. Null, empty and shorter texts give no row.
     """
-    source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
+    source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null")
     kind = df.schema[id_col].dataType.simpleString()
     out = source.mapInArrow(_grams(min_words, n), f"id {kind}, class_id long, grams binary")
     # A short number for each row, fixed once the table is written.
@@ -364,16 +364,16 @@ def found(blocks: DataFrame) -> DataFrame:
     arise, as the threshold is compared in whole numbers.
     """
     members, pairs = similar_classes(passages(blocks))
-    members = durable(members)
-    m, o = members.alias("m"), members.alias("o")
-    across = (
-        durable(pairs).join(m, F.col("a") == F.col("m.class_id")).join(o, F.col("b") == F.col("o.class_id"))
-        .where(F.col("m.id") != F.col("o.id")).select(F.col("m.id").alias("x"), F.col("o.id").alias("y"))
-    )
-    shared = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    some = members.join(shared, "class_id")
+    members, pairs = stored(members), durable(pairs)
+    left = members.join(sized_broadcast(pairs.select("a", "b"), BROADCAST_ROWS), F.col("class_id") == F.col("a"))
+    left = durable(left.select(F.col("id").alias("x"), "b"))
+    across = members.join(sized_broadcast(left, BROADCAST_ROWS), F.col("class_id") == F.col("b"))
+    across = across.where(F.col("id") != F.col("x")).select("x", F.col("id").alias("y"))
+    shared = durable(members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id"))
+    some = members.join(sized_broadcast(shared, BROADCAST_ROWS), "class_id")
     inside = some.alias("m").join(some.alias("o"), (F.col("m.class_id") == F.col("o.class_id")) & (F.col("m.id") < F.col("o.id")))
-    both = across.union(inside.select(F.col("m.id").alias("x"), F.col("o.id").alias("y")))
+    inside = inside.select(F.col("m.id").alias("x"), F.col("o.id").alias("y"))
+    both = across.union(inside)
     return both.select(F.least("x", "y").alias("block_id_a"), F.greatest("x", "y").alias("block_id_b")).distinct()
 
 
