@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quire.operators import units
-from quire.plans import document, retrieve
+from quire.plans import analysis, document, retrieve
 from quire.sources.tables import table
 
-PARTS = [retrieve, document]
+PARTS = [retrieve, document, analysis]
 
 
 def p1_found(spark, root):
