@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quire.operators import units
-from quire.plans import analysis, document, retrieve
+from quire.plans import analysis, document, inquiry, retrieve
 from quire.sources.tables import table
 
-PARTS = [retrieve, document, analysis]
+PARTS = [retrieve, document, analysis, inquiry]
 
 
 def p1_found(spark, root):
