@@ -50,9 +50,9 @@ def parse(refs: DataFrame) -> DataFrame:
     body = F.trim(F.regexp_replace(raw, r"^\s*(?:\[[0-9]+\]|[0-9]{1,3}\.)\s*", ""))
     quoted = F.regexp_extract(body, r"[“\"]([^”\"]{8,})[”\"]", 1)
     after_year = F.regexp_extract(body, r"\((?:18|19|20)[0-9]{2}[a-z]?\)\.?\s+([^.]{8,})\.", 1)
-    second = F.regexp_extract(body, r"^[^.]{3,}?(?:\.\s+)([^.]{12,})\.", 1)
+    second = F.regexp_extract(body, r"^.+?\p{Ll}{2,}\.\s+([^.]{12,})\.", 1)
     title = F.coalesce(*[F.nullif(F.trim(t), F.lit("")) for t in (quoted, after_year, second)])
-    lead = F.regexp_extract(body, r"^(.{3,}?)(?:\s*[“\"(]|\.\s)", 1)
+    lead = F.regexp_extract(body, r"^(.{3,}?)(?:\s*[“\"(]|(?<=\p{Ll}{2})\.\s)", 1)
     people = F.filter(F.transform(F.split(lead, r",?\s+(?:and|&)\s+|;\s*|,\s+(?=\p{Lu}[\p{L}\-']+)"), lambda a: F.trim(a, F.lit(" ,."))), lambda a: F.length(a) > 2)
     return refs.withColumns({"number": number, "year": year(raw), "doi": doi(raw), "arxiv_id": arxiv_id(raw), "parsed_title": title, "authors": F.slice(people, 1, 8)})
 
@@ -108,7 +108,7 @@ def resolve(refs: DataFrame, providers: DataFrame) -> DataFrame:
     core = lambda c: F.regexp_replace(c, r"v[0-9]+$", "")
     words = lambda c: F.array_distinct(F.split(match_form(c), " "))
     r = refs.select("reference_id", "doi", core("arxiv_id").alias("ax"), words("parsed_title").alias("t"), "year", F.lower(F.array_join("authors", " ")).alias("who"))
-    p = providers.select("identifier", F.col("doi").alias("p_doi"), core("arxiv_id").alias("p_ax"), words("title").alias("p_t"), F.col("year").alias("p_year"), F.lower(F.array_join("authors", " ")).alias("p_who"))
+    p = providers.select("identifier", F.col("doi").alias("p_doi"), core("arxiv_id").alias("p_ax"), words("title").alias("p_t"), F.col("year").alias("p_year"), F.regexp_replace(F.lower(F.array_join("authors", " ")), r"[^\p{L}]+", " ").alias("p_who"))
     by_id = r.join(p, F.lower("doi") == F.lower("p_doi")).unionByName(r.join(p, F.col("ax") == F.col("p_ax")))
     sim = jaccard(F.col("t"), F.col("p_t"))
     near = F.when(F.col("year") == F.col("p_year"), 1.0).when(F.abs(F.col("year") - F.col("p_year")) == 1, 0.5).otherwise(0.0)
