@@ -294,7 +294,7 @@ def labels(documents: DataFrame, model: Model | None = None) -> DataFrame:
     return out
 
 
-def found(documents: DataFrame) -> DataFrame:
+def found(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, lang) of every document whose label is missing or wrong or whose text mixes languages."""
-    cases = labels(documents).where("is_missing or is_wrong or is_mixed")
+    cases = labels(documents, model).where("is_missing or is_wrong or is_mixed")
     return cases.select("doc_id", F.explode("languages").alias("lang")).distinct()

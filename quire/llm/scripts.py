@@ -39,7 +39,8 @@ INVISIBLE = "­᠎​-‏‪-‮⁠-⁤﻿"
 LATIN, CYRILLIC, GREEK, HAN = 1, 2, 4, 8
 ANY = 15
 TO_LATIN = {**CYRILLIC_TWINS, **GREEK_TWINS}
-TO_CYRILLIC = {latin: own for own, latin in CYRILLIC_TWINS.items() if own not in "ԌүҮѵ"}
+# Only letters of living Cyrillic alphabets are written in place of Latin ones.
+TO_CYRILLIC = {latin: own for own, latin in CYRILLIC_TWINS.items() if own in "аАВсСеЕНіІјЈКМоОрРТхХуУёЁїЇ"}
 TO_CYRILLIC |= {g: TO_CYRILLIC[latin] for g, latin in GREEK_TWINS.items() if latin in TO_CYRILLIC}
 TO_GREEK = {latin: own for own, latin in GREEK_TWINS.items() if own not in "ϲϳ"}
 TO_GREEK |= {c: TO_GREEK[latin] for c, latin in CYRILLIC_TWINS.items() if latin in TO_GREEK}
