@@ -250,27 +250,54 @@ def _meetings(part: int, of: int):
 def walk(left: list[int], others: dict[int, list[int]], part: int, of: int) -> list[tuple[int, int]]:
     """(other, overlap) of the ordered sets that reach the threshold against ``left``.
 
-    ``others`` are stored in a trie; each node keeps the longest and shortest set
-    below it and the most elements still to come, which bound what a subtree can reach.
+    ``others`` are stored in a trie whose branches stay folded while one set runs
+    through them. Each open node keeps the smallest set below it and the most
+    elements still to come, which bound what its subtree can reach.
     """
     place = {g: i for i, g in enumerate(left)}
-    root: list = [{}, 0, 1 << 30, 0, []]  # children, most still to come, smallest size, largest size, ends
+    root: list = [{}, 1 << 30, 0, []]  # children, smallest size, most still to come, ends
     for other, items in others.items():
-        node, size = root, len(items)
-        node[1], node[2], node[3] = max(node[1], size), min(node[2], size), max(node[3], size)
-        for depth, g in enumerate(items, 1):
-            node = node[0].setdefault(g, [{}, 0, 1 << 30, 0, []])
-            node[1], node[2], node[3] = max(node[1], size - depth), min(node[2], size), max(node[3], size)
-        node[4].append(other)
-    n, out = len(left), []
+        node, depth, size = root, 0, len(items)
+        while True:
+            node[1], node[2] = min(node[1], size), max(node[2], size - depth)
+            if depth == size:
+                node[3].append(other)
+                break
+            child = node[0].get(items[depth])
+            depth += 1
+            if child is None:
+                node[0][items[depth - 1]] = (other, items, depth)
+                break
+            if type(child) is tuple:  # a second set comes this way: unfold one step
+                o, its, d = child
+                child = node[0][items[depth - 1]] = [{}, len(its), len(its) - d, []]
+                if d == len(its):
+                    child[3].append(o)
+                else:
+                    child[0][its[d]] = (o, its, d + 1)
+            node = child
+    n, out, whole = len(left), [], part + of
     stack = [(root, 0, n)]
     while stack:
         node, overlap, remains = stack.pop()
+        if type(node) is tuple:
+            other, items, depth = node
+            size = len(items)
+            least = -(-part * (n + size) // whole)
+            for k in range(depth, size):
+                if overlap + min(size - k, remains) < least:
+                    break
+                i = place.get(items[k])
+                if i is not None:
+                    overlap, remains = overlap + 1, n - i - 1
+            if overlap >= least:
+                out.append((other, overlap))
+            continue
         # overlap / (n + size - overlap) >= part / of  <=>  overlap >= part (n + size) / (part + of)
-        if (overlap + min(node[1], remains)) * (part + of) < part * (n + node[2]):
+        if (overlap + min(node[2], remains)) * whole < part * (n + node[1]):
             continue
-        for other in node[4]:
-            if overlap * (part + of) >= part * (n + len(others[other])):
+        for other in node[3]:
+            if overlap * whole >= part * (n + len(others[other])):
                 out.append((other, overlap))
         for g, child in node[0].items():
             i = place.get(g)
