@@ -118,8 +118,17 @@ def gram_sets(df: DataFrame, id_col: str, text: str, min_words: int = 24, n: int
     source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null")
     kind = df.schema[id_col].dataType.simpleString()
     out = source.mapInArrow(_grams(min_words, n), f"id {kind}, class_id long, grams binary")
-    # A short number for each row, fixed once the table is written.
-    return stored(out.withColumn("row", F.monotonically_increasing_id()))
+    # A short number for each row, fixed once the table is written: its place in its task after all earlier tasks' rows.
+    table = stored(out.withColumn("row", F.monotonically_increasing_id()))
+    task, place = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["task"], r["n"]) for r in table.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for t, n in sizes:
+        starts.append((t, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(starts, "task long, start long")
+    numbered = table.withColumn("task", task).join(F.broadcast(starts), "task")
+    return numbered.select("id", "class_id", "grams", (F.col("start") + place).alias("row"))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
