@@ -6,8 +6,9 @@ organisation cut to initials, both token orders (weighed by how the tokens are
 used elsewhere), umlauts and accents folded, and each one-letter omission of the
 surname or place, so that two spellings one slip apart share a form. The forms
 are exploded and equi-joined; a shared form counts the more the fewer names it
-has. Links through omissions are confirmed by the edit distance and by the rarity
-of one side's spelling.
+has. Links through omissions are confirmed by the edit distance and by agreeing
+given names, at any count; where only initials meet, by the ratio of the two
+spellings' counts or by how often the corpus's full given names agree across a slip.
 """
 
 from __future__ import annotations
@@ -58,6 +59,10 @@ ORGANISATION = [
 LEGAL = ["inc", "ltd", "llc", "gmbh", "corp", "co", "plc", "ag", "sa", "the", "of", "for", "and", "de", "du", "der", "fur", "on", "in"]
 TITLES = ["dr", "prof", "professor", "mr", "mrs", "ms", "sir", "dame", "phd", "md", "jr", "sr", "ii", "iii"]
 NO_NAMES = ["et al", "et al.", "others", "and others", "n/a", "anonymous", "unknown", ""]
+#: Where only initials meet, a slip's spelling has this many times fewer names, ...
+SLIP_RATIO = 2
+#: ... or at least this share of the slip pairs with two full given names agrees in them.
+SLIP_AGREES = 0.9
 SHORT_OF: dict[str, list[str]] = {}
 for _full, _short in NICKNAMES.items():
     for _s in _short:
@@ -246,15 +251,20 @@ def _omissions(word: Column) -> Column:
     return F.when(F.length(word) < 5, F.array(word)).otherwise(F.array_distinct(F.array_append(each, word)))
 
 
-def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _agreement(kind: str, a: str, b: str) -> bool | None:
+    """Whether two given names (of an organisation: two short forms) agree; None where they cannot tell."""
+    if kind == "o":
+        return True if a == b else None
+    if len(a) < 2 or len(b) < 2:
+        return None
+    return one_slip(a, b) or bool(set(full_names(a)) & set(full_names(b)))
+
+
+def _slips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        keep = []
-        for kind, sa, sb, ga, gb in zip(pdf["kind"], pdf["surname_a"], pdf["surname_b"], pdf["given_a"], pdf["given_b"]):
-            ok = sa != sb and one_slip(sa, sb)
-            if ok and kind == "p" and len(ga) > 1 and len(gb) > 1:
-                ok = one_slip(ga, gb) or bool(set(full_names(ga)) & set(full_names(gb)))
-            keep.append(ok)
-        yield pdf.loc[keep, ["name_a", "name_b"]]
+        near = pdf[[a != b and one_slip(a, b) for a, b in zip(pdf["surname_a"], pdf["surname_b"])]]
+        agrees = [_agreement(*x) for x in zip(near["kind"], near["given_a"], near["given_b"])]
+        yield near[["kind", "name_a", "name_b", "rarer", "commoner"]].assign(agrees=pd.array(agrees, "boolean"))
 
 
 def entities(names: DataFrame) -> DataFrame:
@@ -282,17 +292,23 @@ def entities(names: DataFrame) -> DataFrame:
     keys = durable(keys)
     slips = keys.withColumn("omitted", F.explode(_omissions(F.col("surname"))))
     a, b = slips.alias("a"), slips.alias("b")
-    # The rarer spelling is the slip: it is in one name only, and no commoner than the other.
     near = a.join(
         b,
         (F.col("a.omitted") == F.col("b.omitted")) & (F.col("a.initial") == F.col("b.initial")) & (F.col("a.kind") == F.col("b.kind"))
-        & (F.col("a.surname") < F.col("b.surname")) & (F.least("a.names", "b.names") == 1),
+        & (F.col("a.surname") < F.col("b.surname")),
     )
     near = near.select(
         F.col("a.kind").alias("kind"), F.col("a.surname").alias("surname_a"), F.col("b.surname").alias("surname_b"),
         F.col("a.given").alias("given_a"), F.col("b.given").alias("given_b"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"),
+        F.least("a.names", "b.names").alias("rarer"), F.greatest("a.names", "b.names").alias("commoner"),
     ).distinct()
-    slipped = durable(near.mapInPandas(_confirmed, "name_a string, name_b string"))
+    near = durable(near.mapInPandas(_slips, "kind string, name_a string, name_b string, rarer long, commoner long, agrees boolean"))
+    # Full given names on both sides decide; initials alone follow the counts, or what the full names of this corpus show.
+    told = near.where("kind = 'p'").agg(F.count_if("agrees").alias("right"), F.count("agrees").alias("all")).first()
+    trusted = (told["right"] + 1) / (told["all"] + 2) >= SLIP_AGREES
+    lopsided = (F.col("rarer") == 1) | (F.col("rarer") * SLIP_RATIO <= F.col("commoner"))
+    unsure = F.col("agrees").isNull() & (lopsided | (F.col("kind") == "p") & F.lit(trusted))
+    slipped = near.where(F.col("agrees") | unsure).select("name_a", "name_b")
     joined = forms.unionByName(
         slipped.select(F.concat_ws("|", F.lit("slip"), "name_a", "name_b").alias("form"), F.explode(F.array("name_a", "name_b")).alias("name")).select("name", "form")
     )
