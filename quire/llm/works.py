@@ -1,8 +1,9 @@
 """Problem 7: records of one work in the catalogues of different providers.
 
 A cascade of exact joins, each on a weaker combination of attributes: all title
-words with an author, all title words alone, all but one word, all but two. A
-record that a pass has linked to a provider is left out of later passes towards
+words with an author, all title words alone, all but one word, all but two; then
+the same on words whose slips are folded, two words less without an author only in
+equal years. A record that a pass has linked to a provider is left out of later passes towards
 that provider. Every rule's precision is estimated on the pairs it proposes that
 carry evidence the rule did not use (years, and authors where they were not in
 the key), smoothed, and becomes the confidence of its links.
@@ -17,7 +18,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.names import clean, fold
+from quire.llm.names import _omissions, clean, fold, one_slip
 from quire.session import durable
 
 # Short forms in titles, words that carry nothing, notes about the copy.
@@ -99,6 +100,25 @@ def _without(words: Column, n: int) -> Column:
 
 #: (rule, words left out, author in the key, least words)
 RULES = [("title+author", 0, True, 1), ("title", 0, False, 3), ("title-1+author", 1, True, 4), ("title-1", 1, False, 5), ("title-2+author", 2, True, 5)]
+#: The same on words with their slips folded; without authors in the key, two words less need equal years.
+WEAKER = [("slips-1+author", 1, True, 4), ("slips-1", 1, False, 5), ("slips-2+author", 2, True, 5), ("slips-2", 2, False, 5)]
+
+
+def _are_slips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pdf[[one_slip(a, b) for a, b in zip(pdf["word"], pdf["other"])]]
+
+
+def slips_folded(records: DataFrame) -> DataFrame:
+    """The records with each title word of five letters on replaced by its commonest spelling one slip away, if commoner."""
+    said = records.select("record_id", F.explode("words").alias("word"))
+    count = durable(said.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") >= 5))
+    forms = durable(count.withColumn("form", F.explode(_omissions(F.col("word")))))
+    near = forms.join(forms.select("form", F.col("word").alias("other"), F.col("n").alias("others")), "form").where("others > n or (others = n and other < word)")
+    near = near.select("word", "other", "others").distinct().mapInPandas(_are_slips, "word string, other string, others long")
+    fixed = durable(near.groupBy("word").agg(F.max_by("other", F.struct("others", "other")).alias("good")))
+    whole = said.join(fixed, "word", "left").groupBy("record_id").agg(F.array_sort(F.collect_set(F.coalesce("good", "word"))).alias("words"))
+    return durable(records.drop("words").join(whole, "record_id").select(*records.columns))
 
 
 def _keys(records: DataFrame, skip: int, author: bool, least: int) -> DataFrame:
@@ -129,8 +149,9 @@ def matched(provider_records: DataFrame) -> DataFrame:
     side = lambda x: records.select(F.col("record_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("provider", "authors", "year")])
     a_side, b_side = side("a"), side("b")
     linked: list[DataFrame] = []
-    for rule, skip, author, least in RULES:
-        keys = _keys(records, skip, author, least)
+    folded = slips_folded(records)
+    for source, (rule, skip, author, least) in [(records, r) for r in RULES] + [(folded, r) for r in WEAKER]:
+        keys = _keys(source, skip, author, least)
         # A key is used only where two providers meet in it: everything else is dropped before the pairs form.
         shared = keys.join(records.select("record_id", "provider"), "record_id").groupBy("key").agg(F.count_distinct("provider").alias("n")).where("n > 1")
         keys = keys.join(shared.select("key"), "key", "left_semi")
@@ -149,7 +170,7 @@ def matched(provider_records: DataFrame) -> DataFrame:
         common = F.arrays_overlap("authors_a", "authors_b")
         if not author:
             pairs = pairs.where(~both | common) if skip == 0 else pairs.where(~both)
-        agrees = F.coalesce(years, F.lit(True))
+        agrees = F.coalesce(years, F.lit(True)) if author or skip < 2 else F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(False))
         judged = durable(pairs.withColumn("rule", F.lit(rule)).withColumn("is_right", F.when(years.isNotNull(), years)).withColumn("agrees", agrees))
         stats = judged.agg(F.count_if("is_right").alias("right"), F.count("is_right").alias("all")).first()
         precision = (stats["right"] + PRIOR_RIGHT) / (stats["all"] + PRIOR_ALL)
@@ -157,12 +178,18 @@ def matched(provider_records: DataFrame) -> DataFrame:
         # Agreement on the evidence that was left out raises the estimate half way to certainty.
         linked.append(kept.withColumn("confidence", F.when(F.col("is_right"), (1 + F.col("precision")) / 2).otherwise(F.col("precision"))).drop("is_right", "precision"))
     direct = durable(reduce(DataFrame.unionByName, linked))
-    both_ways = direct.select(F.col("a").alias("x"), F.col("b").alias("y"), "confidence").union(direct.select("b", "a", "confidence"))
-    via = both_ways.alias("l").join(both_ways.alias("r"), (F.col("l.y") == F.col("r.x")) & (F.col("l.x") < F.col("r.y")))
-    via = via.select(F.col("l.x").alias("a"), F.col("r.y").alias("b"), (F.col("l.confidence") * F.col("r.confidence")).alias("confidence"))
-    via = via.groupBy("a", "b").agg(F.max("confidence").alias("confidence")).join(direct.select("a", "b"), ["a", "b"], "left_anti")
-    via = via.join(a_side, "a").join(b_side, "b").where("provider_a != provider_b").where(F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(True)))
-    out = direct.select("a", "b", "rule", "confidence").union(via.select("a", "b", F.lit("through another").alias("rule"), "confidence"))
+    out = direct.select("a", "b", "rule", "confidence")
+    # Links of links until none is new; each round doubles the hops.
+    while True:
+        both_ways = out.select(F.col("a").alias("x"), F.col("b").alias("y"), "confidence").union(out.select("b", "a", "confidence"))
+        via = both_ways.alias("l").join(both_ways.alias("r"), (F.col("l.y") == F.col("r.x")) & (F.col("l.x") < F.col("r.y")))
+        via = via.select(F.col("l.x").alias("a"), F.col("r.y").alias("b"), (F.col("l.confidence") * F.col("r.confidence")).alias("confidence"))
+        via = via.groupBy("a", "b").agg(F.max("confidence").alias("confidence")).join(out.select("a", "b"), ["a", "b"], "left_anti")
+        via = via.join(a_side, "a").join(b_side, "b").where("provider_a != provider_b").where(F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(True)))
+        via = durable(via.select("a", "b", F.lit("through another").alias("rule"), "confidence"))
+        if via.isEmpty():
+            break
+        out = durable(out.union(via))
     return out.groupBy(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b")).agg(
         F.max_by("rule", "confidence").alias("rule"), F.round(F.max("confidence"), 4).alias("confidence")
     )

@@ -61,6 +61,20 @@ def test_works(spark):
     assert works.found(df.limit(0)).count() == 0
 
 
+def test_works_with_slips_in_two_words(spark):
+    """Slips in two words link without authors on one side, and in four words with them; links of links are followed to the end."""
+    a = ["Zoë Mokráperge"]
+    common = [(10 + i, "w", f"{t} Study {i}", [f"Nora Other{i}"], 2000) for i, t in enumerate(["Reliable Corpus", "Revision Alignment", "Benchmark Cache", "Reliable Prior"] * 3)]
+    data = common + [
+        (1, "x", "Gadovrank Reliable Corpus Convolutional Revision Alignment", a, 2020), (2, "y", "Gadovrank Reliable Coprus Convolutional Revison Alignment", None, 2020),
+        (3, "x", "Measuring Benchmark Cache Reliable Prior Conditional", a, 2013), (4, "y", "Measuring Benchmrk Cahce Raliable Piror Conditional", a, 2013),
+        (5, "x", "Sparse Tensor Kernels Layered Voxel Atlas Gadget Mirror", None, 2015), (6, "y", "Sparse Tensor Kernels Layered Voxel Atlas Gadget", None, 2015),
+        (7, "z", "Sparse Tensor Kernels Layered Voxel Atlas", None, 2015), (8, "w", "Sparse Tensor Kernels Layered Voxel", None, 2015),
+    ]
+    got = {tuple(r) for r in works.found(spark.createDataFrame(data, R)).collect()}
+    assert {(1, 2), (3, 4)} | {(i, j) for i in range(5, 9) for j in range(i + 1, 9)} == got
+
+
 def test_hot_title(spark):
     """A generic title in a third of the rows links only what shares an author."""
     data = [(i, f"p{i % 3}", "An Overview of Tables", [f"Nora N{i // 3:03d}lastname"], 2010) for i in range(300)]
