@@ -39,7 +39,7 @@ BROADCAST_ROWS = 200_000
 
 
 def repaired(blocks: DataFrame) -> Column:
-    """The text as problems 2 and 3 leave it, for comparison: one character form, no page lines, no cuts."""
+    """The text as problems 2 and 3 leave it, for comparison: one character form, no page lines, no cuts; ``passages`` corrects misread words."""
     plain = canonical_text(F.col("text"))
     lines = F.filter(F.split(plain, r"\r?\n"), lambda x: ~(F.trim(x).rlike(scans.PAGE_LINE) | scans.head_like(F.trim(F.regexp_replace(F.trim(x), scans.TAIL, "")))))
     kept = F.when(plain.contains("\n"), F.array_join(lines, "\n")).otherwise(plain)
@@ -390,7 +390,12 @@ def similar_classes(sets: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFr
 def passages(blocks: DataFrame) -> DataFrame:
     """The comparable sets of TEXT blocks, written once."""
     own = blocks.where((F.col("block_type") == "TEXT") & F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", "text")
-    return gram_sets(spread(own).withColumn("text", repaired(own)), "block_id", "text")
+    # The dictionary of misread words is the whole corpus's, computed once; only blocks that hold one are mended.
+    ready = scans.prepared(blocks.where(F.col("block_id").isNotNull() & F.col("text").isNotNull()).select("block_id", "text"))
+    fixes = scans.fixes_by_block(ready, durable(scans.misread_words(ready)))
+    kept = spread(own).withColumn("text", repaired(own)).join(fixes, "block_id", "left")
+    mended = F.when(F.col("fixes").isNotNull(), scans._mend(F.col("text"), F.col("fixes"))).otherwise(F.col("text"))
+    return gram_sets(kept.withColumn("text", mended), "block_id", "text")
 
 
 def found(blocks: DataFrame) -> DataFrame:

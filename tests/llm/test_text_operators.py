@@ -168,3 +168,13 @@ def test_held_out_accuracy(spark):
     held = languages.labels(documents.where("doc_id % 2 = 1"), model).where("not is_missing and not is_mixed")
     right = held.select(F.avg((F.col("lang") == languages.normal_label(F.col("label"))).cast("double"))).first()[0]
     assert right > 0.9  # some labels are wrong on purpose
+
+
+def test_neardup_mends_misread_words(spark):
+    """Two copies that differ by misread words alone share too few sequences unless these are corrected first."""
+    words = [a + b for a in ("mar", "ter", "lum", "sor", "ken", "pol") for b in ("ginal", "nesto", "marik", "lindo", "kernos")]
+    clean = " ".join(words)
+    noisy = " ".join(w.replace("m", "rn", 1) if "m" in w and i % 2 == 0 else w.replace("l", "1", 1) if "l" in w else w for i, w in enumerate(words))
+    rows = [("a", "TEXT", clean), ("b", "TEXT", noisy)] + [(f"w{i}-{j}", "TEXT", f"{w} alone") for i, w in enumerate(words) for j in range(40)]
+    df = spark.createDataFrame(rows, "block_id string, block_type string, text string")
+    assert [tuple(r) for r in neardup.found(df).collect()] == [("a", "b")]
