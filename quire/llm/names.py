@@ -315,17 +315,22 @@ def entities(names: DataFrame) -> DataFrame:
     return components(durable(joined))
 
 
-def components(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(name, entity): connected names through shared forms, by least-name propagation until nothing changes."""
+def components(edges: DataFrame) -> DataFrame:
+    """(name, entity): connected names through shared forms, by least-name propagation until nothing changes.
+
+    A label is itself a name, so each round also takes the label of the label,
+    which keeps the rounds of long chains few.
+    """
     labels = durable(edges.groupBy("form").agg(F.min("name").alias("low")).join(edges, "form").groupBy("name").agg(F.min("low").alias("entity")))
-    for _ in range(most):
+    while True:
         low = edges.join(labels, "name").groupBy("form").agg(F.min("entity").alias("low"))
         nxt = durable(edges.join(low, "form").groupBy("name").agg(F.min("low").alias("entity")))
+        further = nxt.select(F.col("name").alias("entity"), F.col("entity").alias("further"))
+        nxt = durable(nxt.join(further, "entity").select("name", F.col("further").alias("entity")))
         changed = nxt.join(labels.withColumnRenamed("entity", "was"), "name").where("entity < was").limit(1).count()
         labels = nxt
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def names_in(*tables: DataFrame) -> DataFrame:

@@ -33,6 +33,11 @@ def test_one_typo_in_two_written_forms(spark):
     assert {tuple(r) for r in names.found(df).collect()} == {(a, b) for s in groups for a in s for b in s if a < b}
 
 
+def test_long_chain_is_one_component(spark):
+    edges = spark.createDataFrame([(f"n{i + j:03d}", f"f{i}") for i in range(60) for j in (0, 1)], "name string, form string")
+    assert {r["entity"] for r in names.components(edges).collect()} == {"n000"}
+
+
 def test_one_slip():
     assert names.one_slip("abcd", "abdc") and names.one_slip("abcd", "abd") and names.one_slip("abcd", "abxd") and names.one_slip("a", "a")
     assert not names.one_slip("abcd", "badc") and not names.one_slip("abcd", "ab")
