@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "quire", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -42,7 +42,18 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that :func:`stored` wrote for ``df``; only once nothing will read it again."""
+    path = df.__dict__.pop("stored_at", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -69,13 +80,47 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
-    """Mark a side for broadcast only when its counted rows stay under the bound.
+#: Bytes of a side that is broadcast at most.
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key that meet in one task at most; more rows are dealt to pairs of blocks.
+BLOCK_ROWS = 2_000
+
+
+def _width(df: DataFrame) -> int:
+    """Bytes of a row as held in memory: fixed types by size, others by a usual length."""
+    from pyspark.sql.types import BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, TimestampType
+
+    fixed = (BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, TimestampType)
+    return 24 + sum(8 if isinstance(f.dataType, fixed) else 64 for f in df.schema.fields)
+
+
+def sized_broadcast(df: DataFrame, max_rows: int | None = None, rows: int | None = None) -> DataFrame:
+    """Mark a side for broadcast only when its counted rows, by their width, stay under ``BROADCAST_BYTES``.
 
     ``df`` should be durable or cached, since it is counted here unless ``rows``
-    is given. Beyond the bound the side is returned unmarked and the join shuffles.
+    is given. Beyond the bound (or ``max_rows``) the side is returned unmarked and
+    the join shuffles; the rows that come out are the same.
     """
-    from pyspark.sql import functions as F
+    most = BROADCAST_BYTES // _width(df)
+    most = most if max_rows is None else min(most, max_rows)
+    n = df.limit(most + 1).count() if rows is None else rows
+    return F.broadcast(df) if n <= most else df
+
 
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
+def pairs_within(members: DataFrame, key: str, item: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """(key, x, y): every two different items of one key, x < y, each pair once.
+
+    ``members`` holds distinct (key, item). The items of a key with more than
+    ``block`` of them are dealt to blocks and meet per pair of blocks, so no task
+    gets more than two blocks of one key. Null keys and items give no pair.
+    """
+    rows = members.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(F.col(key).alias("k"), F.col(item).alias("v"))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = rows.join(sizes, "k").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("k", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = (F.col("a.k") == F.col("b.k")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & (F.col("a.v") < F.col("b.v"))
+    # Two items of one block meet under every pair of blocks with theirs; only the pair of both their own counts.
+    once = (F.least("a.own", "b.own") == F.col("a.lo")) & (F.greatest("a.own", "b.own") == F.col("a.hi"))
+    return a.join(b, same & once).select(F.col("a.k").alias(key), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
