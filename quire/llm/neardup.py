@@ -1,18 +1,21 @@
 """Problem 4: passages that are the same but for small edits.
 
 Each repaired text becomes the set of its distinct three-word sequences. Texts
-with equal word sequences are one class; only one text of a class goes on. Sets
-are ordered by one global order, rarest sequence first. Two sets that reach the
-threshold share a sequence within their prefixes, so classes meet on prefix
-sequences; length and position bounds drop most meetings where they arise, and
-only pairs that meet often enough go on. The sets of those that remain are stored, per left class, in a trie in
-global order, and the left set walks the trie: sets that begin alike share the
-partial overlap, and a subtree is cut when the overlap so far plus what can
-still come on either side stays below what the threshold needs.
+with equal word sequences are one class; only one text of a class goes on. Every
+sequence is counted exactly over the corpus, which gives one global order, rarest
+first; sequences of one set alone are left out of what is sent, but keep their
+places. The order is cut into ranges. A set goes once to each range it enters
+within its prefix, with the part of its sequences that lies there, and a range
+keeps its sets in a trie. Sets below one node share the overlap of its path and
+meet there once; nodes of equal sequences on other paths meet as nodes, and a pair
+of nodes is cut, with all sets below, when the sizes or the most that still
+remains below them forbid the threshold. A signature of the whole set bounds the
+overlap of what is left, and the sets of the remaining pairs are compared.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +25,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm import scans
 from quire.llm.scripts import canonical_text
-from quire.session import durable, sized_broadcast, spread, stored
+from quire.session import durable, forget, pairs_within, sized_broadcast, spread, stored
 
-#: Cells of the histogram that fixes the global order, and how they are sent; the size never depends on the data.
-CELLS, CHUNK = 1 << 20, 1 << 10
-#: Meetings of two sets within their prefixes that are asked for, unless their sizes make fewer due.
-SHARED = 3
-#: Rows of one sequence that make a block; more rows make more blocks.
+#: Sequences of one counting task, and of one range of the order, about.
+COUNT_GRAMS, RANGE_GRAMS = 4_000_000, 1_500_000
+#: Sets of one sequence that make a block; more sets make more blocks.
 CROWD = 20_000
-#: Sets of one trie; more candidates of one set make more tries.
-TRIE_SETS = 5_000
-#: Positions and sizes are exact up to here; larger sets pass the bounds unpruned.
-CLIP = 0x7FFF
-#: Ids that are broadcast at most (about 40 bytes each); beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Pairs formed at once in a range.
+AT_ONCE = 2_000_000
+#: Words of 64 bits of a set's signature.
+SIGNATURE = 4
+#: Candidates of one set that are compared in one group; more make more groups.
+CANDIDATES = 5_000
 
 
 def repaired(blocks: DataFrame) -> Column:
@@ -67,8 +68,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grams(min_words: int, n: int):
-    """Batches of (id, text) to (id, class_id, grams)."""
+def _units(min_words: int, n: int):
+    """Batches of (id, text) to one row (ids, class_ids, sizes, grams) for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -99,292 +100,391 @@ def _grams(min_words: int, n: int):
                 g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
             g = (_mix(g) >> np.uint64(32)).astype(np.uint32)
             whole = np.add.reduceat(_mix(h + np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(h)) - np.repeat(starts, lengths)).astype(np.uint64)), starts)
-            out = []
-            for a, b in zip(starts, ends):
-                out.append(np.unique(g[a : max(a, b - n + 1)]).tobytes())
+            sets = [np.unique(g[a : max(a, b - n + 1)]) for a, b in zip(starts, ends)]
+            at = pa.array([0, len(keep)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(keep)), pa.array(whole.view(np.int64)), pa.array(out, pa.binary())], names=["id", "class_id", "grams"]
-            )
+                [
+                    pa.ListArray.from_arrays(at, ids.take(pa.array(keep))), pa.ListArray.from_arrays(at, pa.array(whole.view(np.int64))),
+                    pa.array([np.array([len(x) for x in sets], np.int32).tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary()),
+                ],
+                names=["ids", "class_ids", "sizes", "grams"],
+            )
 
     return run
 
 
 def gram_sets(df: DataFrame, id_col: str, text: str, min_words: int = 24, n: int = 3) -> DataFrame:
-    """(id, class_id, grams, row), written once: the distinct n-word sequences of each text of enough words, as hashes.
+    """(unit, ids, class_ids, sizes, grams), written once: the distinct n-word sequences of each text of enough words.
 
-    Case, punctuation and spacing do not count. ``class_id`` is equal for equal
-    word sequences. Null, empty and shorter texts give no row.
+    A unit is what one batch of texts gave: the sets lie one behind the other in
+    ``grams`` as 32-bit hashes, in ascending order. Case, punctuation and spacing
+    do not count. ``class_ids`` are equal for equal word sequences. Null, empty and
+    shorter texts give no set.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null")
     kind = df.schema[id_col].dataType.simpleString()
-    out = source.mapInArrow(_grams(min_words, n), f"id {kind}, class_id long, grams binary")
-    # A short number for each row, fixed once the table is written: its place in its task after all earlier tasks' rows.
-    table = stored(out.withColumn("row", F.monotonically_increasing_id()))
-    task, place = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r["task"], r["n"]) for r in table.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect())
+    out = source.mapInArrow(_units(min_words, n), f"ids array<{kind}>, class_ids array<long>, sizes binary, grams binary")
+    # Units are numbered without gaps once the table is written: by the place in a task after all earlier tasks' units.
+    table = stored(out.withColumn("place", F.monotonically_increasing_id()))
+    task, place = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     starts, total = [], 0
-    for t, n in sizes:
+    for t, k in sorted((r["task"], r["k"]) for r in table.groupBy(task.alias("task")).agg(F.count("*").alias("k")).collect()):
         starts.append((t, total))
-        total += n
-    starts = df.sparkSession.createDataFrame(starts, "task long, start long")
-    numbered = table.withColumn("task", task).join(F.broadcast(starts), "task")
-    return numbered.select("id", "class_id", "grams", (F.col("start") + place).alias("row"))
+        total += k
+    numbered = table.withColumn("task", task).join(F.broadcast(df.sparkSession.createDataFrame(starts, "task long, start long")), "task")
+    return numbered.select((F.col("start") + place).alias("unit"), "ids", "class_ids", "sizes", "grams")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All sequences of a column of sets in one array, and the size of each set."""
-    sets = column.to_pylist()
-    return np.frombuffer(b"".join(sets), np.uint32), np.array([len(x) // 4 for x in sets], np.int64)
+def members_of(units: DataFrame) -> DataFrame:
+    """(id, class_id, row) of every set; ``row`` is the unit's number and the place in it."""
+    each = units.select("unit", F.posexplode(F.arrays_zip("ids", "class_ids")).alias("at", "m"))
+    return each.select(F.col("m.ids").alias("id"), F.col("m.class_ids").alias("class_id"), (F.shiftleft("unit", 16) + F.col("at")).alias("row"))
 
 
-def _histogram(sets: DataFrame) -> np.ndarray:
-    """How many sets hold each cell of sequences; a fixed number of cells, whatever the data.
+def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units to (row, class_id, grams)."""
+    for b in batches:
+        for unit, classes_, sizes, grams in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            sizes = np.frombuffer(sizes, np.int32)
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes) * 4]).astype(np.int32))
+            rows = (unit << 16) + np.arange(len(sizes))
+            sets = pa.Array.from_buffers(pa.binary(), len(sizes), [None, at.buffers()[1], pa.py_buffer(grams)])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), classes_.values, sets], names=["row", "class_id", "grams"])
 
-    Each task sends its cells densely, two bytes each; the sums come to the driver
-    as one array of ``CELLS`` numbers. It only orders the sequences, so a task's
-    count may saturate.
-    """
 
-    def count(batches):
-        cells = np.zeros(CELLS, np.int64)
-        for b in batches:
-            cells += np.bincount(_flat(b.column(0))[0] % np.uint32(CELLS), minlength=CELLS)
-        if cells.any():
-            dense = np.minimum(cells, 65535).astype(np.uint16).reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(dense)), pa.int32()), pa.array([c.tobytes() for c in dense])], names=["chunk", "counts"])
+# ---------------------------------------------------------------- the global order
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"chunk": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    rows = sets.select("grams").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    out = np.zeros((CELLS // CHUNK, CHUNK), np.int32)
-    for r in rows.collect():
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
-    return out.ravel()
+def _small(x: np.ndarray) -> np.ndarray:
+    """The array in the least width that holds it."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
-def _prefixes(cells, part: int, of: int):
-    """Batches of (row, grams) to rows of (gram, block, row, at_size, own) for each prefix sequence.
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as one string, each in the least width."""
+    out = []
+    for x in map(_small, arrays):
+        out += [np.array([x.itemsize, len(x)], np.int64).tobytes(), x.tobytes()]
+    return b"".join(out)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        width, n = np.frombuffer(data, np.int64, 2, at)
+        out.append(np.frombuffer(data, f"u{width}", int(n), at + 16))
+        at += 16 + int(width * n)
+    return out
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    """Ascending numbers as 16-bit steps; 65535 stands for a step on that gives no number."""
+    step = np.diff(sorted_.astype(np.int64), prepend=0)
+    more = step // 65535
+    out = np.full(len(step) + int(more.sum()), 65535, np.uint16)
+    out[np.cumsum(more) + np.arange(len(step))] = step % 65535
+    return out
 
-    ``block`` is 0 but for sequences of crowded cells: their rows are dealt to
-    blocks, and each row goes to every pair of blocks that holds its own, so no
-    task gets more than two blocks of one sequence and every two rows meet once.
-    """
+
+def _from_steps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.astype(np.int64))[steps != 65535].astype(np.uint32)
+
+
+def _edges(parts: int) -> np.ndarray:
+    """Where each part of the hash space begins, and the end."""
+    return np.array([-(-(k << 32) // parts) for k in range(parts + 1)], np.int64)
+
+
+def _code(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in ascending order: 0 for one, exact to 128, then eight steps for each doubling."""
+    far = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128)).astype(np.int64)
+    return np.where(counts <= 128, counts - 1, np.minimum(far, 255)).astype(np.uint8)
+
+
+def _offers(parts: int):
+    """Units to (part, unit, offer): the distinct sequences of each part of the hash space and how many sets hold each."""
 
     def run(batches):
-        counts = cells.value
+        edges = _edges(parts)
         for b in batches:
-            ids, (flat, sizes) = b.column(0).to_numpy(), _flat(b.column(1))
-            if not len(flat):
-                continue
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            cell = counts[flat % np.uint32(CELLS)]
-            order = np.lexsort((flat, cell, row))
-            flat, row, cell = flat[order], row[order], cell[order]
-            at = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
-            # A partner of overlap >= part/of of the union overlaps at least part/of of this set;
-            # beyond this prefix there are too few elements left to make up for sharing none in it.
-            need = -(-sizes * part // of)
-            first = at < (sizes - need + 1)[row]
-            flat, row, cell, at = flat[first], row[first], cell[first], at[first]
-            ids_, packed = ids[row], (np.minimum(at, CLIP).astype(np.int64) << 16 | np.minimum(sizes[row], CLIP)).astype(np.int32)
-            gram, block = flat.view(np.int32), np.zeros(len(flat), np.int32)
-            blocks, deal = np.minimum(-(-cell // CROWD), 1 << 14), np.zeros(len(flat), np.int16)
-            if (hot := blocks > 1).any():
-                pieces = [(gram[~hot], block[~hot], ids_[~hot], packed[~hot], deal[~hot])]
-                g, k, i, p = gram[hot], blocks[hot], ids_[hot], packed[hot]
-                own = (_mix(i.view(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
-                r = np.repeat(np.arange(len(g)), k)
-                other = np.arange(len(r)) - np.repeat(np.cumsum(k) - k, k)
-                pair = (np.minimum(own[r], other) << 16 | np.maximum(own[r], other)) + 1
-                pieces.append((g[r], pair.astype(np.int32), i[r], p[r], own[r].astype(np.int16)))
-                gram, block, ids_, packed, deal = (np.concatenate(c) for c in zip(*pieces))
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), pa.array(ids_), pa.array(packed), pa.array(deal)], names=["gram", "block", "row", "at_size", "own"])
+            for unit, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                u, n = np.unique(np.frombuffer(grams, np.uint32), return_counts=True)
+                cut = np.searchsorted(u, edges)
+                offers = [zlib.compress(_pack(n[i:j]), 1) for i, j in zip(cut, cut[1:])]
+                steps = [_steps(u[i:j]).tobytes() for i, j in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([unit] * parts), pa.array(steps), pa.array(offers)], names=["part", "unit", "steps", "counts"])
 
     return run
 
 
-def _meetings(part: int, of: int):
-    """Rows sorted by (gram, block) to the pairs (a, b) that meet and keep within length and position bounds."""
-
-    def pairs(gram, block, ids, packed, own):
-        at, size = packed >> 16, packed & 0xFFFF
-        d = 1
-        while d < len(gram):
-            same = np.nonzero((gram[d:] == gram[:-d]) & (block[d:] == block[:-d]))[0]
-            if not len(same):
-                return
-            i, j = same, same + d
-            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            least = -(-(size[i] + size[j]) * part // (part + of))
-            rest = np.minimum(size[i] - at[i], size[j] - at[j])
-            # At the k-th shared sequence k - 1 are behind, so the bound gives way by SHARED - 1.
-            keep = ((small * of >= large * part) & (rest >= least - SHARED + 1)) | (large >= CLIP)
-            keep &= ids[i] != ids[j]
-            if (block[i] > 0).any():
-                # Two rows of one block meet under every pair of blocks with theirs; only the pair of both their own counts.
-                lo, hi = (block[i] - 1) >> 16, (block[i] - 1) & 0xFFFF
-                keep &= (block[i] == 0) | ((np.minimum(own[i], own[j]) == lo) & (np.maximum(own[i], own[j]) == hi))
-            i, j = i[keep], j[keep]
-            if len(i):
-                # What two sets share outside their prefixes lies in the rest of one of them, so at least
-                # this many meetings are due; where that is less than SHARED a meeting counts for more.
-                due = least[keep] - (-(-large[keep] * part // of)) + 1
-                n = np.where(large[keep] >= CLIP, SHARED, -(-SHARED // np.clip(due, 1, SHARED))).astype(np.int32)
-                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), n
-            d += 1
+def _replies(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The codes of one part's sequences back to each unit, in ascending order of the sequences; unit -1 gets the sequences of each code."""
+    offers = [_from_steps(np.frombuffer(s, np.uint16)) for s in pdf["steps"]]
+    counts = [_unpack(zlib.decompress(c))[0].astype(np.int64) for c in pdf["counts"]]
+    grams, back = np.unique(np.concatenate(offers), return_inverse=True)
+    codes = _code(np.bincount(back, np.concatenate(counts), len(grams)).astype(np.int64))
+    out, at = [], 0
+    for o in offers:
+        out.append(zlib.compress(codes[back[at : at + len(o)]].tobytes(), 1))
+        at += len(o)
+    tally = np.bincount(codes[back], np.concatenate(counts), 256).astype(np.int64).tobytes()
+    return pd.DataFrame({"unit": [*pdf["unit"], -1], "part": int(key[0]), "reply": [*out, tally]})
 
-    def run(batches):
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            now = [b.column(c).to_numpy() for c in range(5)]
-            if held is not None:
-                now = [np.concatenate([h, n]) for h, n in zip(held, now)]
-            if not len(now[0]):
+
+def _ranges(tally: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, blocks): where each range of the order begins, as code and hash, and the blocks its sets are dealt to.
+
+    Ranges hold about equal work: a sequence's postings weigh the more, the more sets hold it.
+    """
+    code = np.arange(256)
+    held = np.where(code < 128, code + 1, 128 * 2.0 ** ((code - 127) / 8))
+    work = np.where(code > 0, tally * (16 + np.minimum(held, CROWD)), 0.0)
+    want = max(least, int(-(-tally[1:].sum() // RANGE_GRAMS)))
+    ends = np.cumsum(work)
+    starts = []
+    for k in range(want):
+        goal = ends[-1] * k / want
+        c = int(np.searchsorted(ends, goal, "right"))
+        if c > 255:
+            break
+        starts.append((c << 32) + int((goal - (ends[c] - work[c])) / max(work[c], 1) * 2**32))
+    starts = np.unique(np.array(starts or [0], np.int64))
+    top = np.append(starts[1:] - 1, 256 << 32) >> 32
+    present = [max((c for c in range(int(a >> 32), int(min(b, 255)) + 1) if tally[c]), default=0) for a, b in zip(starts, top)]
+    return starts, np.maximum(1, -(-held[present] // CROWD)).astype(np.int64)
+
+
+def _signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bit for each sequence of a set, by hash."""
+    bit = (_mix(flat.astype(np.uint64)) % np.uint64(64 * SIGNATURE)).astype(np.int64)
+    out = np.zeros(len(sizes) * SIGNATURE, np.uint64)
+    np.bitwise_or.at(out, np.repeat(np.arange(len(sizes)), sizes) * SIGNATURE + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _enter(starts: np.ndarray, blocks: np.ndarray, part: int, of: int):
+    """One unit with its replies to (range, blocks, entries): what its sets hold of each range within their prefixes."""
+
+    def run(key: tuple, units: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for unit, sizes, grams in zip(units["unit"], units["sizes"], units["grams"]):
+            sizes, flat = np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(grams, np.uint32)
+            told = replies[replies["part"] >= 0].sort_values("part")
+            codes = np.frombuffer(b"".join(zlib.decompress(r) for r in told["reply"]), np.uint8)
+            _, back = np.unique(flat, return_inverse=True)
+            code = codes[back].astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, code, row))
+            order_key = ((code << 32) | flat)[order]
+            first = np.cumsum(sizes) - sizes
+            at = np.arange(len(flat)) - first[row]
+            # A partner of overlap >= part/of of the union overlaps at least part/of of this set;
+            # beyond this prefix there are too few sequences left to make up for sharing none in it.
+            keep = (at < (sizes - -(-sizes * part // of) + 1)[row]) & (order_key >= 1 << 32)
+            for r in replies.loc[replies["part"] == -1, "reply"]:
+                keep &= ~np.isin(row, np.frombuffer(r, np.int64) & 0xFFFF)
+            order_key, row, at = order_key[keep], row[keep], at[keep]
+            if not len(row):
                 continue
-            # The last group may go on in the next batch.
-            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            cut = int(np.argmax(last))
-            held = [c[cut:] for c in now]
-            for got in pairs(*[x[:cut] for x in now]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b", "n"])
-        if held is not None:
-            for got in pairs(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b", "n"])
+            signed = _signatures(flat, sizes).reshape(-1, SIGNATURE)
+            place = np.searchsorted(starts, order_key, "right") - 1
+            # A set's sequences in one range are neighbours in the order: a segment.
+            fresh = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(row, prepend=-1))
+            length = np.diff(np.append(fresh, len(row)))
+            where, who, since = place[fresh], row[fresh], at[fresh]
+            for r in np.unique(where):
+                mine = np.flatnonzero(where == r)
+                parts = int(blocks[r])
+                own = (_mix(((int(unit) << 16) + who[mine]).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                for other in range(parts):
+                    pair = np.minimum(own, other) << 20 | np.maximum(own, other)
+                    for p in np.unique(pair):
+                        sel = mine[pair == p]
+                        body = np.repeat(fresh[sel] - (np.cumsum(length[sel]) - length[sel]), length[sel]) + np.arange(int(length[sel].sum()))
+                        held_ = order_key[body] & 0xFFFFFFFF
+                        out.append((int(r), int(p), int(unit), _pack(who[sel], sizes[who[sel]], since[sel], length[sel], own[pair == p], held_, signed[who[sel]].ravel())))
+        return pd.DataFrame(out, columns=["range", "pair", "unit", "entries"])
 
     return run
 
 
-def walk(left: list[int], others: dict[int, list[int]], part: int, of: int) -> list[tuple[int, int]]:
-    """(other, overlap) of the ordered sets that reach the threshold against ``left``.
+# ---------------------------------------------------------------- the trie of a range
+
 
-    ``others`` are stored in a trie whose branches stay folded while one set runs
-    through them. Each open node keeps the smallest set below it and the most
-    elements still to come, which bound what its subtree can reach.
+class Trie:
+    """Segments in a prefix tree, level by level; a node knows the sets below it and their bounds.
+
+    ``seq`` is a node's sequence, ``root`` the first node on its path; ``low`` and
+    ``high`` are the least and greatest size below it and ``rest`` the most
+    sequences that remain from it on. ``below(u)`` are the postings of its sets.
     """
-    place = {g: i for i, g in enumerate(left)}
-    root: list = [{}, 1 << 30, 0, []]  # children, smallest size, most still to come, ends
-    for other, items in others.items():
-        node, depth, size = root, 0, len(items)
-        while True:
-            node[1], node[2] = min(node[1], size), max(node[2], size - depth)
-            if depth == size:
-                node[3].append(other)
-                break
-            child = node[0].get(items[depth])
-            depth += 1
-            if child is None:
-                node[0][items[depth - 1]] = (other, items, depth)
-                break
-            if type(child) is tuple:  # a second set comes this way: unfold one step
-                o, its, d = child
-                child = node[0][items[depth - 1]] = [{}, len(its), len(its) - d, []]
-                if d == len(its):
-                    child[3].append(o)
-                else:
-                    child[0][its[d]] = (o, its, d + 1)
-            node = child
-    n, out, whole = len(left), [], part + of
-    stack = [(root, 0, n)]
-    while stack:
-        node, overlap, remains = stack.pop()
-        if type(node) is tuple:
-            other, items, depth = node
-            size = len(items)
-            least = -(-part * (n + size) // whole)
-            for k in range(depth, size):
-                if overlap + min(size - k, remains) < least:
-                    break
-                i = place.get(items[k])
-                if i is not None:
-                    overlap, remains = overlap + 1, n - i - 1
-            if overlap >= least:
-                out.append((other, overlap))
-            continue
-        # overlap / (n + size - overlap) >= part / of  <=>  overlap >= part (n + size) / (part + of)
-        if (overlap + min(node[2], remains)) * whole < part * (n + node[1]):
-            continue
-        for other in node[3]:
-            if overlap * whole >= part * (n + len(others[other])):
-                out.append((other, overlap))
-        for g, child in node[0].items():
-            i = place.get(g)
-            stack.append((child, overlap, remains) if i is None else (child, overlap + 1, n - i - 1))
-    return out
 
+    def __init__(self, length: np.ndarray, items: np.ndarray, size: np.ndarray, since: np.ndarray):
+        first = np.cumsum(length) - length
+        self.entry = np.repeat(np.arange(len(length)), length)
+        self.at = since[self.entry] + np.arange(len(items)) - first[self.entry]
+        node = np.empty(len(items), np.int64)
+        live, above, nodes, depth = np.arange(len(length)), np.zeros(len(length), np.int64), 0, 0
+        while len(live := live[length[live] > depth]):
+            at = first[live] + depth
+            _, now = np.unique(above[live] << 32 | items[at], return_inverse=True)
+            now = now + nodes
+            node[at], above[live] = now, now
+            nodes, depth = int(now.max()) + 1, depth + 1
+        order = np.argsort(node, kind="stable")
+        self.postings = order
+        self.begin = np.searchsorted(node[order], np.arange(nodes + 1))
+        if nodes:
+            left, sizes = (size[self.entry] - self.at)[order], size[self.entry][order]
+            self.seq, self.root = items[order[self.begin[:-1]]], node[first[self.entry[order[self.begin[:-1]]]]]
+            self.low, self.high = np.minimum.reduceat(sizes, self.begin[:-1]), np.maximum.reduceat(sizes, self.begin[:-1])
+            self.rest = np.maximum.reduceat(left, self.begin[:-1])
+        else:
+            self.seq = self.root = self.low = self.high = self.rest = np.empty(0, np.int64)
+
+    def meetings(self, part: int, of: int):
+        """Pairs of postings of two sets that share a sequence there and may reach the threshold, each path's sets once."""
+        count = np.diff(self.begin)
+        # Sets below one node on the first level: their path is shared.
+        top = np.flatnonzero((self.root == np.arange(len(self.root))) & (count > 1) & self._may(np.arange(len(self.root)), np.arange(len(self.root)), part, of))
+        inside = np.repeat(top, count[top])
+        place = np.arange(len(inside)) - np.repeat(np.cumsum(count[top]) - count[top], count[top])
+        for i, k in _runs(count[inside] - place - 1):
+            x = self.begin[inside[i]] + place[i]
+            yield self.postings[x], self.postings[x + k]
+        # Nodes of one sequence on other paths.
+        order = np.argsort(self.seq, kind="stable")
+        seq = self.seq[order]
+        end = np.searchsorted(seq, seq, "right")
+        for i, k in _runs(end - np.arange(len(seq)) - 1):
+            u, v = order[i], order[i + k]
+            keep = (self.root[u] != self.root[v]) & self._may(u, v, part, of)
+            u, v = u[keep], v[keep]
+            for j, k2 in _runs(count[u] * count[v], 0):
+                a, b = u[j], v[j]
+                yield self.postings[self.begin[a] + k2 // count[b]], self.postings[self.begin[b] + k2 % count[b]]
+
+    def _may(self, u: np.ndarray, v: np.ndarray, part: int, of: int) -> np.ndarray:
+        """Whether some two sets below the nodes may reach the threshold, by their sizes and what remains."""
+        fits = (np.minimum(self.high[u], self.high[v]) * of >= np.maximum(self.low[u], self.low[v]) * part)
+        return fits & (np.minimum(self.rest[u], self.rest[v]) * (part + of) >= (self.low[u] + self.low[v]) * part)
+
+
+def _runs(lengths: np.ndarray, base: int = 1):
+    """(index, step) for ``base`` to ``base + length - 1`` of every index, in pieces of bounded size."""
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(lengths):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+        n = lengths[start:stop]
+        index = np.repeat(np.arange(start, stop), n)
+        step = np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n) + base
+        for at in range(0, len(index), 4 * AT_ONCE):
+            yield index[at : at + 4 * AT_ONCE], step[at : at + 4 * AT_ONCE]
+        start = stop
+
+
+def _met(part: int, of: int):
+    """One range's entries (of one pair of blocks) to the pairs (a, b) of rows that may reach the threshold."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for unit, data in zip(pdf["unit"], pdf["entries"]):
+            got = _unpack(data)
+            got[0] = got[0].astype(np.int64) + (int(unit) << 16)
+            for c, x in zip(cols, got):
+                c.append(x.astype(np.uint64 if c is cols[6] else np.int64))
+        row, size, since, length, own, items, signed = map(np.concatenate, cols)
+        signed = signed.reshape(-1, SIGNATURE)
+        lo, hi = int(key[1]) >> 20, int(key[1]) & 0xFFFFF
+        bits = np.bitwise_count(signed).sum(1).astype(np.int64)
+        tree = Trie(length, items, size, since)
+        found_ = []
+        for i, j in tree.meetings(part, of):
+            e, f = tree.entry[i], tree.entry[j]
+            least = -(-(size[e] + size[f]) * part // (part + of))
+            keep = np.minimum(size[e] - tree.at[i], size[f] - tree.at[j]) >= least
+            keep &= np.minimum(size[e], size[f]) * of >= np.maximum(size[e], size[f]) * part
+            # Two sets of one block meet under every pair of blocks with theirs; only the pair of both their own counts.
+            keep &= (np.minimum(own[e], own[f]) == lo) & (np.maximum(own[e], own[f]) == hi)
+            e, f, least = e[keep], f[keep], least[keep]
+            # A bit of one set that the other lacks stands for at least one sequence the other lacks.
+            common = np.bitwise_count(signed[e] & signed[f]).sum(1).astype(np.int64)
+            keep = np.minimum(size[e] - bits[e], size[f] - bits[f]) + common >= least
+            e, f = e[keep], f[keep]
+            found_.append(np.unique(np.minimum(e, f) * len(row) + np.maximum(e, f)))
+        both = np.unique(np.concatenate(found_)) if found_ else np.empty(0, np.int64)
+        a, b = row[both // max(len(row), 1)], row[both % max(len(row), 1)]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-def _verify(cells, part: int, of: int):
-    """Rows sorted by a, its own row (null b) first, to (a, b, overlap, similarity) of the pairs over the threshold."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = cells.value
 
-        def ordered(grams):
-            u = np.frombuffer(grams, np.uint32)
-            return u[np.lexsort((u, counts[u % np.uint32(CELLS)]))].tolist()
+def _compare(part: int, of: int):
+    """Rows sorted by (a, salt), a's own row (null b) first, to (a, b, overlap, similarity) of the pairs over the threshold."""
 
-        now, left, name, others, names = None, None, None, {}, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, name = None, None, None
         for batch in batches:
             out: list[list] = [[], [], [], []]
-
-            def close():
-                if others:
-                    for b, overlap in walk(left, others, part, of):
-                        for column, value in zip(out, (name, names[b], overlap, overlap / (len(left) + len(others[b]) - overlap))):
-                            column.append(value)
-
-            for a, b, class_id, grams in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                if a != now:
-                    close()
-                    now, others, names = a, {}, {}
+            for a, salt, b, class_id, grams in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                one = np.frombuffer(grams, np.uint32)
                 if b is None:
-                    left, name = ordered(grams), class_id
-                else:
-                    others[b], names[b] = ordered(grams), class_id
-                    if len(others) == TRIE_SETS:  # a crowded left set is walked in several tries
-                        close()
-                        others, names = {}, {}
+                    now, left, name = (a, salt), one, class_id
+                    continue
+                assert now == (a, salt)
+                at = np.minimum(np.searchsorted(left, one), len(left) - 1)
+                overlap = int(np.count_nonzero(left[at] == one))
+                union = len(left) + len(one) - overlap
+                if overlap * of >= union * part:
+                    for column, value in zip(out, (min(name, class_id), max(name, class_id), overlap, overlap / union)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.float64())],
                 names=["a", "b", "overlap", "similarity"],
             )
-        if others:
-            hits = walk(left, others, part, of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(hits), pa.int64()), pa.array([names[b] for b, _ in hits], pa.int64()), pa.array([o for _, o in hits], pa.int32()),
-                 pa.array([o / (len(left) + len(others[b]) - o) for b, o in hits], pa.float64())],
-                names=["a", "b", "overlap", "similarity"],
-            )
 
     return run
 
 
-def similar_classes(sets: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFrame, DataFrame]:
+def similar_classes(units: DataFrame, part: int = 1, of: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): class of each id, and the pairs of classes at or over ``part/of``.
 
-    ``sets`` come from :func:`gram_sets`. Pairs have a < b with overlap and similarity; ids of
+    ``units`` come from :func:`gram_sets`. Pairs have a < b with overlap and similarity; ids of
     one class hold the same text and need no pair. No pair is capped or dropped.
     """
-    sc = sets.sparkSession.sparkContext
-    members = sets.select("id", "class_id").distinct()
-    first = sets.groupBy("class_id").agg(F.min("row").alias("row"))
-    copies = durable(sets.select("class_id", "row").join(first, ["class_id", "row"], "left_anti").select("row"))
-    one = sets.join(sized_broadcast(copies, BROADCAST_ROWS), "row", "left_anti")
-    cells = sc.broadcast(_histogram(one))
-    rows = one.select("row", "grams").mapInArrow(_prefixes(cells, part, of), "gram int, block int, row long, at_size int, own short")
-    met = rows.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(_meetings(part, of), "a long, b long, n int")
-    # Similar sets meet several times within their prefixes; chance meetings rarely repeat.
-    candidates = durable(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"))
-    found_ = candidates.count()
-    # Each set goes to the pairs it is the right side of, and once to itself where it is a left side.
-    b_side = one.select(F.col("row").alias("b"), F.col("class_id").alias("class_id"), "grams").join(sized_broadcast(candidates, BROADCAST_ROWS, found_), "b")
-    lefts = sized_broadcast(candidates.select("a").distinct(), BROADCAST_ROWS, found_)
-    a_side = one.select(F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "class_id", "grams").join(lefts, "a", "left_semi")
-    both = a_side.unionByName(b_side.select("a", "b", "class_id", "grams"))
-    grouped = both.select("a", "b", "class_id", "grams").repartition("a").sortWithinPartitions(F.col("a"), F.col("b").asc_nulls_first())
-    pairs = grouped.mapInArrow(_verify(cells, part, of), "a long, b long, overlap int, similarity double")
-    return members, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap", "similarity")
+    spark = units.sparkSession
+    each = members_of(units)
+    members = each.select("id", "class_id").distinct()
+    # One row of each class goes on; the others are told to their units.
+    copies = each.select("class_id", "row").join(each.groupBy("class_id").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "class_id").where("row != first")
+    told = copies.groupBy(F.shiftright("row", 16).alias("unit")).agg(F.collect_list("row").alias("rows"))
+    as_bytes = lambda frames: (pd.DataFrame({"unit": f["unit"], "part": -1, "reply": [np.array(r, np.int64).tobytes() for r in f["rows"]]}) for f in frames)
+    told = told.mapInPandas(as_bytes, "unit long, part int, reply binary")
+    held = units.agg(F.sum(F.length("grams") / 4)).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-held // COUNT_GRAMS)))
+    offers = units.select("unit", "grams").mapInArrow(_offers(width), "part int, unit long, steps binary, counts binary")
+    replies = durable(offers.groupBy("part").applyInPandas(_replies, "unit long, part int, reply binary"))
+    tally = np.sum([np.frombuffer(r["reply"], np.int64) for r in replies.where("unit = -1").collect()] or [np.zeros(256, np.int64)], axis=0)
+    starts, blocks = _ranges(tally, spark.sparkContext.defaultParallelism)
+    entries = (
+        units.select("unit", "sizes", "grams").groupBy("unit")
+        .cogroup(replies.where("unit >= 0").unionByName(told).groupBy("unit"))
+        .applyInPandas(_enter(starts, blocks, part, of), "range int, pair long, unit long, entries binary")
+    )
+    met = entries.groupBy("range", "pair").applyInPandas(_met(part, of), "a long, b long")
+    candidates = durable(met.distinct())
+    n = candidates.count()
+    crowded = candidates.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CANDIDATES).select("a", F.ceil(F.col("n") / CANDIDATES).alias("groups"))
+    salted = candidates.join(crowded, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("salt"))
+    salted = durable(salted)
+    sets = units.select("unit", "class_ids", "sizes", "grams").mapInArrow(_each_set, "row long, class_id long, grams binary")
+    # Each set goes to the pairs it is the right side of, and once to itself for every group where it is a left side.
+    right = sets.withColumnRenamed("row", "b").join(sized_broadcast(salted, rows=n), "b").select("a", "salt", "b", "class_id", "grams")
+    left = sets.withColumnRenamed("row", "a").join(sized_broadcast(salted.select("a", "salt").distinct(), rows=n), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "class_id", "grams")
+    grouped = left.unionByName(right).repartition("a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
+    return members, grouped.mapInArrow(_compare(part, of), "a long, b long, overlap int, similarity double")
 
 
 def passages(blocks: DataFrame) -> DataFrame:
@@ -392,7 +492,8 @@ def passages(blocks: DataFrame) -> DataFrame:
     own = blocks.where((F.col("block_type") == "TEXT") & F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", "text")
     # The dictionary of misread words is the whole corpus's, computed once; only blocks that hold one are mended.
     ready = scans.prepared(blocks.where(F.col("block_id").isNotNull() & F.col("text").isNotNull()).select("block_id", "text"))
-    fixes = scans.fixes_by_block(ready, durable(scans.misread_words(ready)))
+    fixes = durable(scans.fixes_by_block(ready, durable(scans.misread_words(ready))))
+    forget(ready)
     kept = spread(own).withColumn("text", repaired(own)).join(fixes, "block_id", "left")
     mended = F.when(F.col("fixes").isNotNull(), scans._mend(F.col("text"), F.col("fixes"))).otherwise(F.col("text"))
     return gram_sets(kept.withColumn("text", mended), "block_id", "text")
@@ -402,19 +503,15 @@ def found(blocks: DataFrame) -> DataFrame:
     """(block_id_a, block_id_b): every two different blocks of one passage, copies expanded.
 
     Null and short texts give no pair; repeated rows count once; ties cannot
-    arise, as the threshold is compared in whole numbers.
+    arise, as the threshold is compared in whole numbers. The blocks of one class
+    meet per pair of blocks of bounded size.
     """
     members, pairs = similar_classes(passages(blocks))
-    members, pairs = stored(members), durable(pairs)
-    left = members.join(sized_broadcast(pairs.select("a", "b"), BROADCAST_ROWS), F.col("class_id") == F.col("a"))
-    left = durable(left.select(F.col("id").alias("x"), "b"))
-    across = members.join(sized_broadcast(left, BROADCAST_ROWS), F.col("class_id") == F.col("b"))
+    members, pairs = stored(members), durable(pairs.select("a", "b"))
+    left = durable(members.join(sized_broadcast(pairs), F.col("class_id") == F.col("a")).select(F.col("id").alias("x"), "b"))
+    across = members.join(sized_broadcast(left), F.col("class_id") == F.col("b"))
     across = across.where(F.col("id") != F.col("x")).select("x", F.col("id").alias("y"))
-    shared = durable(members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id"))
-    some = members.join(sized_broadcast(shared, BROADCAST_ROWS), "class_id")
-    inside = some.alias("m").join(some.alias("o"), (F.col("m.class_id") == F.col("o.class_id")) & (F.col("m.id") < F.col("o.id")))
-    inside = inside.select(F.col("m.id").alias("x"), F.col("o.id").alias("y"))
-    both = across.union(inside)
+    both = across.union(pairs_within(members, "class_id", "id").select("x", "y"))
     return both.select(F.least("x", "y").alias("block_id_a"), F.greatest("x", "y").alias("block_id_b")).distinct()
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,12 +56,22 @@ def test_copies_are_one_class(spark):
     assert got["k0"] == (30, 1) and got["o"] == (1, 1) and len(got) == 31
 
 
-def test_walk_prunes_nothing_right():
+def test_trie_prunes_nothing_right():
+    """Every pair over the threshold meets at its first shared sequence, whatever is cut on the way; no pair meets twice on one path."""
     rng = random.Random(5)
-    sets = {i: sorted(rng.sample(range(60), rng.randint(5, 30))) for i in range(80)}
-    left = sets.pop(0)
-    want = {(i, len(set(left) & set(s))) for i, s in sets.items() if len(set(left) & set(s)) * 3 >= len(set(left) | set(s))}
-    assert set(neardup.walk(left, sets, 1, 3)) == want
+    sets = [sorted(rng.sample(range(60), rng.randint(5, 30))) for _ in range(80)] + [sorted(range(10, 30))] * 2
+    length, items = np.array([len(s) for s in sets]), np.concatenate([np.array(s) for s in sets])
+    tree = neardup.Trie(length, items, length, np.zeros(len(sets), np.int64))
+    met = {tuple(sorted((int(tree.entry[i]), int(tree.entry[j])))) for x, y in tree.meetings(1, 3) for i, j in zip(x, y)}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) * 3 >= len(set(sets[i]) | set(sets[j]))}
+    assert want <= met < {(i, j) for j in range(len(sets)) for i in range(j)}
+
+
+def test_counts_and_steps():
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 500, dtype=np.uint32))
+    assert (neardup._from_steps(neardup._steps(x)) == x).all()
+    code = neardup._code(np.array([1, 2, 128, 129, 10**5, 10**9]))
+    assert code[0] == 0 and list(code) == sorted(code) and len(set(code[:3])) == 3
 
 
 def test_leaks_equal_brute_force(spark):
