@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm import scans
-from quire.llm.scripts import canonical_text
 from quire.session import durable, forget, pairs_within, sized_broadcast, spread, stored
 
 #: Sequences of one counting task, and of one range of the order, about.
@@ -39,9 +38,8 @@ SIGNATURE = 4
 CANDIDATES = 5_000
 
 
-def repaired(blocks: DataFrame) -> Column:
-    """The text as problems 2 and 3 leave it, for comparison: one character form, no page lines, no cuts; ``passages`` corrects misread words."""
-    plain = canonical_text(F.col("text"))
+def repaired(plain: Column) -> Column:
+    """A text in one character form as problem 2 leaves it, for comparison: no page lines, no cuts; ``passages`` corrects misread words."""
     lines = F.filter(F.split(plain, r"\r?\n"), lambda x: ~(F.trim(x).rlike(scans.PAGE_LINE) | scans.head_like(F.trim(F.regexp_replace(F.trim(x), scans.TAIL, "")))))
     kept = F.when(plain.contains("\n"), F.array_join(lines, "\n")).otherwise(plain)
     return scans.join_cuts(kept)
@@ -386,18 +384,12 @@ def _runs(lengths: np.ndarray, base: int = 1):
 
 
 def _met(part: int, of: int):
-    """One range's entries (of one pair of blocks) to the pairs (a, b) of rows that may reach the threshold."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for unit, data in zip(pdf["unit"], pdf["entries"]):
-            got = _unpack(data)
-            got[0] = got[0].astype(np.int64) + (int(unit) << 16)
-            for c, x in zip(cols, got):
-                c.append(x.astype(np.uint64 if c is cols[6] else np.int64))
+    """Entries sorted by range and pair of blocks to the pairs (a, b) of rows that may reach the threshold."""
+
+    def meet(pair: int, cols: list[list[np.ndarray]]) -> pa.RecordBatch:
         row, size, since, length, own, items, signed = map(np.concatenate, cols)
         signed = signed.reshape(-1, SIGNATURE)
-        lo, hi = int(key[1]) >> 20, int(key[1]) & 0xFFFFF
+        lo, hi = pair >> 20, pair & 0xFFFFF
         bits = np.bitwise_count(signed).sum(1).astype(np.int64)
         tree = Trie(length, items, size, since)
         found_ = []
@@ -416,7 +408,22 @@ def _met(part: int, of: int):
             found_.append(np.unique(np.minimum(e, f) * len(row) + np.maximum(e, f)))
         both = np.unique(np.concatenate(found_)) if found_ else np.empty(0, np.int64)
         a, b = row[both // max(len(row), 1)], row[both % max(len(row), 1)]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cols = None, []
+        for batch in batches:
+            for r, pair, unit, data in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if (r, pair) != now:
+                    if now:
+                        yield meet(now[1], cols)
+                    now, cols = (r, pair), [[] for _ in range(7)]
+                got = _unpack(data)
+                got[0] = got[0].astype(np.int64) + (unit << 16)
+                for c, x in zip(cols, got):
+                    c.append(x.astype(np.uint64 if c is cols[6] else np.int64))
+        if now:
+            yield meet(now[1], cols)
 
     return run
 
@@ -473,7 +480,9 @@ def similar_classes(units: DataFrame, part: int = 1, of: int = 3) -> tuple[DataF
         .cogroup(replies.where("unit >= 0").unionByName(told).groupBy("unit"))
         .applyInPandas(_enter(starts, blocks, part, of), "range int, pair long, unit long, entries binary")
     )
-    met = entries.groupBy("range", "pair").applyInPandas(_met(part, of), "a long, b long")
+    tasks = max(len(starts), spark.sparkContext.defaultParallelism)
+    dealt = entries.repartitionById(tasks, F.pmod(F.col("range") + F.col("pair") * 7, F.lit(tasks)).cast("int")).sortWithinPartitions("range", "pair")
+    met = dealt.mapInArrow(_met(part, of), "a long, b long")
     candidates = durable(met.distinct())
     n = candidates.count()
     crowded = candidates.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CANDIDATES).select("a", F.ceil(F.col("n") / CANDIDATES).alias("groups"))
@@ -489,14 +498,17 @@ def similar_classes(units: DataFrame, part: int = 1, of: int = 3) -> tuple[DataF
 
 def passages(blocks: DataFrame) -> DataFrame:
     """The comparable sets of TEXT blocks, written once."""
-    own = blocks.where((F.col("block_type") == "TEXT") & F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", "text")
+    every = blocks.where(F.col("block_id").isNotNull() & F.col("text").isNotNull()).select("block_id", "block_type", "text")
     # The dictionary of misread words is the whole corpus's, computed once; only blocks that hold one are mended.
-    ready = scans.prepared(blocks.where(F.col("block_id").isNotNull() & F.col("text").isNotNull()).select("block_id", "text"))
-    fixes = durable(scans.fixes_by_block(ready, durable(scans.misread_words(ready))))
-    forget(ready)
-    kept = spread(own).withColumn("text", repaired(own)).join(fixes, "block_id", "left")
+    ready = scans.prepared(every)
+    wrong = durable(scans.misread_words(ready))
+    own = ready.where(F.col("block_type") == "TEXT")
+    fixes = durable(scans.fixes_by_block(own, wrong))
+    kept = own.select("block_id", repaired(F.col("plain")).alias("text")).join(sized_broadcast(fixes), "block_id", "left")
     mended = F.when(F.col("fixes").isNotNull(), scans._mend(F.col("text"), F.col("fixes"))).otherwise(F.col("text"))
-    return gram_sets(kept.withColumn("text", mended), "block_id", "text")
+    units = gram_sets(kept.withColumn("text", mended), "block_id", "text")
+    forget(ready)
+    return units
 
 
 def found(blocks: DataFrame) -> DataFrame:
