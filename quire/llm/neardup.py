@@ -4,8 +4,9 @@ Each repaired text becomes the set of its distinct three-word sequences. Texts
 with equal word sequences are one class; only one text of a class goes on. Every
 sequence is counted exactly over the corpus, which gives one global order, rarest
 first; sequences of one set alone are left out of what is sent, but keep their
-places. The order is cut into ranges. A set goes once to each range it enters
-within its prefix, with the part of its sequences that lies there, and a range
+places. The sequences are cut into stripes by hash, those of crowded sets into
+stripes of their own. A set goes once to each stripe it enters within its prefix,
+with the part of its sequences that lies there, in the global order, and a stripe
 keeps its sets in a trie. Sets below one node share the overlap of its path and
 meet there once; nodes of equal sequences on other paths meet as nodes, and a pair
 of nodes is cut, with all sets below, when the sizes or the most that still
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.llm import scans
 from quire.session import durable, forget, pairs_within, sized_broadcast, spread, stored
 
-#: Sequences of one counting task, and of one range of the order, about.
-COUNT_GRAMS, RANGE_GRAMS = 4_000_000, 1_500_000
+#: Sequences of one counting task, and of one stripe, about.
+COUNT_GRAMS, STRIPE_GRAMS = 4_000_000, 2_000_000
 #: Sets of one sequence that make a block; more sets make more blocks.
 CROWD = 20_000
-#: Pairs formed at once in a range.
+#: Pairs formed at once in a stripe.
 AT_ONCE = 2_000_000
+#: Misread words that are sent to all tasks as one dictionary (about 100 bytes each); more are joined to their texts.
+DICTIONARY = 200_000
 #: Words of 64 bits of a set's signature.
 SIGNATURE = 4
 #: Candidates of one set that are compared in one group; more make more groups.
@@ -66,12 +69,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _units(min_words: int, n: int):
-    """Batches of (id, text) to one row (ids, class_ids, sizes, grams) for each."""
+def _units(min_words: int, n: int, fixes):
+    """Batches of (id, text) to one row (ids, class_ids, sizes, grams) for each; ``fixes`` corrects words on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
-        blanks = _Blanks()
+        blanks, good = _Blanks(), fixes.value if fixes else {}
         for batch in batches:
             if len(cache) > 500_000:
                 cache.clear()
@@ -86,7 +89,7 @@ def _units(min_words: int, n: int):
                 for w in words:
                     h = cache.get(w)
                     if h is None:
-                        h = cache[w] = _word_hash(w)
+                        h = cache[w] = _word_hash(good.get(w, w))
                     flat.append(h)
             if not keep:
                 continue
@@ -111,17 +114,17 @@ def _units(min_words: int, n: int):
     return run
 
 
-def gram_sets(df: DataFrame, id_col: str, text: str, min_words: int = 24, n: int = 3) -> DataFrame:
+def gram_sets(df: DataFrame, id_col: str, text: str, min_words: int = 24, n: int = 3, fixes=None) -> DataFrame:
     """(unit, ids, class_ids, sizes, grams), written once: the distinct n-word sequences of each text of enough words.
 
     A unit is what one batch of texts gave: the sets lie one behind the other in
     ``grams`` as 32-bit hashes, in ascending order. Case, punctuation and spacing
-    do not count. ``class_ids`` are equal for equal word sequences. Null, empty and
-    shorter texts give no set.
+    do not count. ``class_ids`` are equal for equal word sequences. ``fixes`` is a
+    broadcast dictionary of misread words. Null, empty and shorter texts give no set.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null")
     kind = df.schema[id_col].dataType.simpleString()
-    out = source.mapInArrow(_units(min_words, n), f"ids array<{kind}>, class_ids array<long>, sizes binary, grams binary")
+    out = source.mapInArrow(_units(min_words, n, fixes), f"ids array<{kind}>, class_ids array<long>, sizes binary, grams binary")
     # Units are numbered without gaps once the table is written: by the place in a task after all earlier tasks' units.
     table = stored(out.withColumn("place", F.monotonically_increasing_id()))
     task, place = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
@@ -215,41 +218,33 @@ def _offers(parts: int):
     return run
 
 
-def _replies(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The codes of one part's sequences back to each unit, in ascending order of the sequences; unit -1 gets the sequences of each code."""
-    offers = [_from_steps(np.frombuffer(s, np.uint16)) for s in pdf["steps"]]
-    counts = [_unpack(zlib.decompress(c))[0].astype(np.int64) for c in pdf["counts"]]
-    grams, back = np.unique(np.concatenate(offers), return_inverse=True)
-    codes = _code(np.bincount(back, np.concatenate(counts), len(grams)).astype(np.int64))
-    out, at = [], 0
-    for o in offers:
-        out.append(zlib.compress(codes[back[at : at + len(o)]].tobytes(), 1))
-        at += len(o)
-    tally = np.bincount(codes[back], np.concatenate(counts), 256).astype(np.int64).tobytes()
-    return pd.DataFrame({"unit": [*pdf["unit"], -1], "part": int(key[0]), "reply": [*out, tally]})
+def _held(code: np.ndarray) -> np.ndarray:
+    """The most sets that a code stands for."""
+    return np.where(code < 128, code + 1, np.ceil(128 * 2.0 ** ((code - 127) / 8))).astype(np.int64)
 
 
-def _ranges(tally: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, blocks): where each range of the order begins, as code and hash, and the blocks its sets are dealt to.
+def _stripe(grams: np.ndarray, codes: np.ndarray, stripes: int) -> np.ndarray:
+    """The stripe of each sequence; those of more than ``CROWD`` sets have stripes of their own."""
+    return (grams.astype(np.int64) * stripes >> 32) + np.where(_held(codes.astype(np.int64)) > CROWD, stripes, 0)
 
-    Ranges hold about equal work: a sequence's postings weigh the more, the more sets hold it.
-    """
-    code = np.arange(256)
-    held = np.where(code < 128, code + 1, 128 * 2.0 ** ((code - 127) / 8))
-    work = np.where(code > 0, tally * (16 + np.minimum(held, CROWD)), 0.0)
-    want = max(least, int(-(-tally[1:].sum() // RANGE_GRAMS)))
-    ends = np.cumsum(work)
-    starts = []
-    for k in range(want):
-        goal = ends[-1] * k / want
-        c = int(np.searchsorted(ends, goal, "right"))
-        if c > 255:
-            break
-        starts.append((c << 32) + int((goal - (ends[c] - work[c])) / max(work[c], 1) * 2**32))
-    starts = np.unique(np.array(starts or [0], np.int64))
-    top = np.append(starts[1:] - 1, 256 << 32) >> 32
-    present = [max((c for c in range(int(a >> 32), int(min(b, 255)) + 1) if tally[c]), default=0) for a, b in zip(starts, top)]
-    return starts, np.maximum(1, -(-held[present] // CROWD)).astype(np.int64)
+
+def _replies(stripes: int):
+    """The codes of one part's sequences back to each unit, in ascending order of the sequences; unit -1 gets the highest code of each stripe."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        offers = [_from_steps(np.frombuffer(s, np.uint16)) for s in pdf["steps"]]
+        counts = [_unpack(zlib.decompress(c))[0].astype(np.int64) for c in pdf["counts"]]
+        grams, back = np.unique(np.concatenate(offers), return_inverse=True)
+        codes = _code(np.bincount(back, np.concatenate(counts), len(grams)).astype(np.int64))
+        out, at = [], 0
+        for o in offers:
+            out.append(zlib.compress(codes[back[at : at + len(o)]].tobytes(), 1))
+            at += len(o)
+        most = np.zeros(2 * stripes, np.uint8)
+        np.maximum.at(most, _stripe(grams, codes, stripes), codes)
+        return pd.DataFrame({"unit": [*pdf["unit"], -1], "part": int(key[0]), "reply": [*out, zlib.compress(most.tobytes(), 1)]})
+
+    return run
 
 
 def _signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -260,8 +255,8 @@ def _signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _enter(starts: np.ndarray, blocks: np.ndarray, part: int, of: int):
-    """One unit with its replies to (range, blocks, entries): what its sets hold of each range within their prefixes."""
+def _enter(stripes: int, blocks: np.ndarray, part: int, of: int):
+    """One unit with its replies to (stripe, pair, unit, entries): what its sets hold of each stripe within their prefixes."""
 
     def run(key: tuple, units: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -273,23 +268,23 @@ def _enter(starts: np.ndarray, blocks: np.ndarray, part: int, of: int):
             code = codes[back].astype(np.int64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((flat, code, row))
-            order_key = ((code << 32) | flat)[order]
-            first = np.cumsum(sizes) - sizes
-            at = np.arange(len(flat)) - first[row]
+            gram, code = flat[order].astype(np.int64), code[order]
+            at = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
             # A partner of overlap >= part/of of the union overlaps at least part/of of this set;
             # beyond this prefix there are too few sequences left to make up for sharing none in it.
-            keep = (at < (sizes - -(-sizes * part // of) + 1)[row]) & (order_key >= 1 << 32)
+            keep = (at < (sizes - -(-sizes * part // of) + 1)[row]) & (code > 0)
             for r in replies.loc[replies["part"] == -1, "reply"]:
                 keep &= ~np.isin(row, np.frombuffer(r, np.int64) & 0xFFFF)
-            order_key, row, at = order_key[keep], row[keep], at[keep]
+            gram, code, row, at = gram[keep], code[keep], row[keep], at[keep]
             if not len(row):
                 continue
             signed = _signatures(flat, sizes).reshape(-1, SIGNATURE)
-            place = np.searchsorted(starts, order_key, "right") - 1
-            # A set's sequences in one range are neighbours in the order: a segment.
-            fresh = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(row, prepend=-1))
+            place = _stripe(gram, code, stripes)
+            order = np.lexsort((np.arange(len(row)), row, place))
+            gram, row, at, place = gram[order], row[order], at[order], place[order]
+            fresh = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
             length = np.diff(np.append(fresh, len(row)))
-            where, who, since = place[fresh], row[fresh], at[fresh]
+            where, who = place[fresh], row[fresh]
             for r in np.unique(where):
                 mine = np.flatnonzero(where == r)
                 parts = int(blocks[r])
@@ -299,14 +294,13 @@ def _enter(starts: np.ndarray, blocks: np.ndarray, part: int, of: int):
                     for p in np.unique(pair):
                         sel = mine[pair == p]
                         body = np.repeat(fresh[sel] - (np.cumsum(length[sel]) - length[sel]), length[sel]) + np.arange(int(length[sel].sum()))
-                        held_ = order_key[body] & 0xFFFFFFFF
-                        out.append((int(r), int(p), int(unit), _pack(who[sel], sizes[who[sel]], since[sel], length[sel], own[pair == p], held_, signed[who[sel]].ravel())))
-        return pd.DataFrame(out, columns=["range", "pair", "unit", "entries"])
+                        out.append((int(r), int(p), int(unit), _pack(who[sel], sizes[who[sel]], at[body], length[sel], own[pair == p], gram[body], signed[who[sel]].ravel())))
+        return pd.DataFrame(out, columns=["stripe", "pair", "unit", "entries"])
 
     return run
 
 
-# ---------------------------------------------------------------- the trie of a range
+# ---------------------------------------------------------------- the trie of a stripe
 
 
 class Trie:
@@ -317,17 +311,16 @@ class Trie:
     sequences that remain from it on. ``below(u)`` are the postings of its sets.
     """
 
-    def __init__(self, length: np.ndarray, items: np.ndarray, size: np.ndarray, since: np.ndarray):
+    def __init__(self, length: np.ndarray, items: np.ndarray, size: np.ndarray, at: np.ndarray):
         first = np.cumsum(length) - length
-        self.entry = np.repeat(np.arange(len(length)), length)
-        self.at = since[self.entry] + np.arange(len(items)) - first[self.entry]
+        self.entry, self.at = np.repeat(np.arange(len(length)), length), at
         node = np.empty(len(items), np.int64)
         live, above, nodes, depth = np.arange(len(length)), np.zeros(len(length), np.int64), 0, 0
         while len(live := live[length[live] > depth]):
-            at = first[live] + depth
-            _, now = np.unique(above[live] << 32 | items[at], return_inverse=True)
+            here = first[live] + depth
+            _, now = np.unique(above[live] << 32 | items[here], return_inverse=True)
             now = now + nodes
-            node[at], above[live] = now, now
+            node[here], above[live] = now, now
             nodes, depth = int(now.max()) + 1, depth + 1
         order = np.argsort(node, kind="stable")
         self.postings = order
@@ -384,14 +377,14 @@ def _runs(lengths: np.ndarray, base: int = 1):
 
 
 def _met(part: int, of: int):
-    """Entries sorted by range and pair of blocks to the pairs (a, b) of rows that may reach the threshold."""
+    """Entries sorted by stripe and pair of blocks to the pairs (a, b) of rows that may reach the threshold."""
 
     def meet(pair: int, cols: list[list[np.ndarray]]) -> pa.RecordBatch:
-        row, size, since, length, own, items, signed = map(np.concatenate, cols)
+        row, size, at, length, own, items, signed = map(np.concatenate, cols)
         signed = signed.reshape(-1, SIGNATURE)
         lo, hi = pair >> 20, pair & 0xFFFFF
         bits = np.bitwise_count(signed).sum(1).astype(np.int64)
-        tree = Trie(length, items, size, since)
+        tree = Trie(length, items, size, at)
         found_ = []
         for i, j in tree.meetings(part, of):
             e, f = tree.entry[i], tree.entry[j]
@@ -471,17 +464,19 @@ def similar_classes(units: DataFrame, part: int = 1, of: int = 3) -> tuple[DataF
     told = told.mapInPandas(as_bytes, "unit long, part int, reply binary")
     held = units.agg(F.sum(F.length("grams") / 4)).first()[0] or 0
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-held // COUNT_GRAMS)))
+    stripes = max(spark.sparkContext.defaultParallelism, int(-(-held // STRIPE_GRAMS)))
     offers = units.select("unit", "grams").mapInArrow(_offers(width), "part int, unit long, steps binary, counts binary")
-    replies = durable(offers.groupBy("part").applyInPandas(_replies, "unit long, part int, reply binary"))
-    tally = np.sum([np.frombuffer(r["reply"], np.int64) for r in replies.where("unit = -1").collect()] or [np.zeros(256, np.int64)], axis=0)
-    starts, blocks = _ranges(tally, spark.sparkContext.defaultParallelism)
+    replies = durable(offers.groupBy("part").applyInPandas(_replies(stripes), "unit long, part int, reply binary"))
+    most = np.zeros(2 * stripes, np.uint8)
+    for r in replies.where("unit = -1").toLocalIterator():
+        most = np.maximum(most, np.frombuffer(zlib.decompress(r["reply"]), np.uint8))
+    blocks = np.where(np.arange(2 * stripes) < stripes, 1, -(-_held(most.astype(np.int64)) // CROWD))
     entries = (
         units.select("unit", "sizes", "grams").groupBy("unit")
         .cogroup(replies.where("unit >= 0").unionByName(told).groupBy("unit"))
-        .applyInPandas(_enter(starts, blocks, part, of), "range int, pair long, unit long, entries binary")
+        .applyInPandas(_enter(stripes, blocks, part, of), "stripe int, pair long, unit long, entries binary")
     )
-    tasks = max(len(starts), spark.sparkContext.defaultParallelism)
-    dealt = entries.repartitionById(tasks, F.pmod(F.col("range") + F.col("pair") * 7, F.lit(tasks)).cast("int")).sortWithinPartitions("range", "pair")
+    dealt = entries.repartitionById(stripes, F.pmod(F.col("stripe") + F.col("pair") * 7, F.lit(stripes)).cast("int")).sortWithinPartitions("stripe", "pair")
     met = dealt.mapInArrow(_met(part, of), "a long, b long")
     candidates = durable(met.distinct())
     n = candidates.count()
@@ -502,11 +497,16 @@ def passages(blocks: DataFrame) -> DataFrame:
     # The dictionary of misread words is the whole corpus's, computed once; only blocks that hold one are mended.
     ready = scans.prepared(every)
     wrong = durable(scans.misread_words(ready))
-    own = ready.where(F.col("block_type") == "TEXT")
-    fixes = durable(scans.fixes_by_block(own, wrong))
-    kept = own.select("block_id", repaired(F.col("plain")).alias("text")).join(sized_broadcast(fixes), "block_id", "left")
-    mended = F.when(F.col("fixes").isNotNull(), scans._mend(F.col("text"), F.col("fixes"))).otherwise(F.col("text"))
-    units = gram_sets(kept.withColumn("text", mended), "block_id", "text")
+    own = ready.where(F.col("block_type") == "TEXT").select("block_id", "plain", "whole")
+    text = repaired(F.col("plain"))
+    rows = wrong.limit(DICTIONARY + 1).count()
+    if rows <= DICTIONARY:
+        fixes = blocks.sparkSession.sparkContext.broadcast({r["token"]: r["word"] for r in wrong.collect()})
+        units = gram_sets(own.select("block_id", text.alias("text")), "block_id", "text", fixes=fixes)
+    else:
+        kept = own.select("block_id", text.alias("text")).join(scans.fixes_by_block(own, wrong), "block_id", "left")
+        mended = F.when(F.col("fixes").isNotNull(), scans._mend(F.col("text"), F.col("fixes"))).otherwise(F.col("text"))
+        units = gram_sets(kept.select("block_id", mended.alias("text")), "block_id", "text")
     forget(ready)
     return units
 

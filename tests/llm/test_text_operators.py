@@ -61,7 +61,7 @@ def test_trie_prunes_nothing_right():
     rng = random.Random(5)
     sets = [sorted(rng.sample(range(60), rng.randint(5, 30))) for _ in range(80)] + [sorted(range(10, 30))] * 2
     length, items = np.array([len(s) for s in sets]), np.concatenate([np.array(s) for s in sets])
-    tree = neardup.Trie(length, items, length, np.zeros(len(sets), np.int64))
+    tree = neardup.Trie(length, items, length, np.concatenate([np.arange(n) for n in length]))
     met = {tuple(sorted((int(tree.entry[i]), int(tree.entry[j])))) for x, y in tree.meetings(1, 3) for i, j in zip(x, y)}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) * 3 >= len(set(sets[i]) | set(sets[j]))}
     assert want <= met < {(i, j) for j in range(len(sets)) for i in range(j)}
