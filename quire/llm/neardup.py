@@ -497,7 +497,7 @@ def passages(blocks: DataFrame) -> DataFrame:
     # The dictionary of misread words is the whole corpus's, computed once; only blocks that hold one are mended.
     ready = scans.prepared(every)
     wrong = durable(scans.misread_words(ready))
-    own = ready.where(F.col("block_type") == "TEXT").select("block_id", "plain", "whole")
+    own = ready.where(F.col("block_type") == "TEXT").select("block_id", "plain", "said")
     text = repaired(F.col("plain"))
     rows = wrong.limit(DICTIONARY + 1).count()
     if rows <= DICTIONARY:
