@@ -1,12 +1,15 @@
 """Problem 7: records of one work in the catalogues of different providers.
 
-A cascade of exact joins, each on a weaker combination of attributes: all title
-words with an author, all title words alone, all but one word, all but two; then
-the same on words whose slips are folded, two words less without an author only in
-equal years. A record that a pass has linked to a provider is left out of later passes towards
-that provider. Every rule's precision is estimated on the pairs it proposes that
-carry evidence the rule did not use (years, and authors where they were not in
-the key), smoothed, and becomes the confidence of its links.
+A cascade of deterministic rules, each an equi-join on a weaker combination of
+attributes: all title words with an author, all title words alone, the same on
+words whose slips are folded, then titles that differ by one word and by two. Two
+titles that lose at most ``k`` words each share ``j`` of the ``k + j`` rarest words
+of either, so the joins are on single rare words with an author, or on pairs of
+rare words, and the titles of what meets are compared. A record that a pass has
+linked to a provider is left out of later passes towards that provider. The last
+rule joins records that matched a common third one. A rule's confidence is its
+smoothed precision on its links whose venues, which no rule reads, are known on
+both sides: links whose venues agree count as right.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.names import _omissions, clean, fold, one_slip
-from quire.session import durable
+from quire.llm.names import _omissions, clean, components, fold, one_slip
+from quire.session import durable, pairs_within, sized_broadcast
+from quire.sources.tables import latest
 
 # Short forms in titles, words that carry nothing, notes about the copy.
 SHORT = {
@@ -50,11 +54,15 @@ def title_words(title: str | None) -> tuple[str, list[str]]:
     t = " ".join(fold(w) for w in re.split(r"[^\w]+", t) if fold(w))
     t = re.sub(r"\s+", " ", re.sub(NOTES, " ", t)).strip()
     kind = []
-    for name, pattern in _KINDS:
-        m = re.search(pattern, t)
-        if m:
-            kind.append(name + (":" + m.group().split()[-1] if name == "part" else ""))
-            t = (t[: m.start()] + " " + t[m.end() :]).strip()
+    while True:  # a reply may itself be revisited
+        for name, pattern in _KINDS:
+            m = re.search(pattern, t)
+            if m and m.group().strip(" ,") != t:
+                kind.append(name + (":" + m.group().split()[-1] if name == "part" else ""))
+                t = (t[: m.start()] + " " + t[m.end() :]).strip()
+                break
+        else:
+            break
     words = [SHORT.get(w, w) for w in t.split()]
     return "+".join(sorted(kind)), [w for w in words if w not in EMPTY and len(w) > 1]
 
@@ -67,41 +75,43 @@ def author_words(authors) -> list[str]:
     return sorted(out)
 
 
-CLEAN = "record_id bigint, provider string, kind string, words array<string>, authors array<string>, year int, generic boolean"
+def venue_sign(venue: str | None) -> str | None:
+    """Initials of a venue's words, equal for its full and its abbreviated name."""
+    words = [fold(w) for w in re.split(r"[^\w]+", venue or "")]
+    return "".join(w[0] for w in words if w and w not in EMPTY) or None
+
+
+CLEAN = "record_id bigint, provider string, kind string, words array<string>, authors array<string>, year int, generic boolean, venue string, tail string"
 
 
 def _clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         rows = []
-        for rid, provider, title, authors, year in zip(pdf["record_id"], pdf["provider"], pdf["title"], pdf["authors"], pdf["year"]):
+        for rid, provider, title, authors, year, venue in zip(pdf["record_id"], pdf["provider"], pdf["title"], pdf["authors"], pdf["year"], pdf["venue"]):
             kind, words = title_words(title)
+            tail = " ".join(words[-TAIL:]) if len(words) >= TAIL else None
             words = sorted(set(words))
-            rows.append((rid, provider, kind, words, author_words(authors), None if year != year or year is None else int(year), bool(set(words) & GENERIC) or len(words) < 3))
+            rows.append((rid, provider, kind, words, author_words(authors), None if year != year or year is None else int(year), bool(set(words) & GENERIC) or len(words) < 3, venue_sign(venue), tail))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in CLEAN.split(", ")])
         yield out.astype({"year": "Int32"})
 
 
-def _without(words: Column, n: int) -> Column:
-    """The words joined, with every choice of ``n`` of them left out."""
-    key = lambda ws: F.array_join(ws, " ")
-    if n == 0:
-        return F.array(key(words))
-    drop = lambda ws, i: F.concat(F.slice(ws, 1, i), F.slice(ws, i + 2, F.size(ws)))
-    if n == 1:
-        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: key(drop(words, i)))
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - 2),
-            lambda i: F.transform(F.sequence(i, F.size(words) - 2), lambda j: key(drop(drop(words, i), j))),
-        )
-    )
-    return F.array_distinct(pairs)
+#: Words at the end of a title that make its tail.
+TAIL = 3
+#: (rule, slips folded, words lost on either side (None: one title ends in the other), author in the key, least common words, equal years)
+RULES = [
+    ("title+author", False, 0, True, 1, False), ("title", False, 0, False, 3, False),
+    ("slips+author", True, 0, True, 1, False), ("slips", True, 0, False, 3, False),
+    ("title-1+author", True, 1, True, 3, False), ("title-1", True, 1, False, 4, False),
+    ("title-2+author", True, 2, True, 3, False), ("title-2", True, 2, False, 4, True),
+    ("tail+author", False, None, True, TAIL, False),
+]
 
 
-#: (rule, words left out, author in the key, least words)
-RULES = [("title+author", 0, True, 1), ("title", 0, False, 3), ("title-1+author", 1, True, 4), ("title-1", 1, False, 5), ("title-2+author", 2, True, 5)]
-#: The same on words with their slips folded; without authors in the key, two words less need equal years.
-WEAKER = [("slips-1+author", 1, True, 4), ("slips-1", 1, False, 5), ("slips-2+author", 2, True, 5), ("slips-2", 2, False, 5)]
+def _near(a: Column, b: Column) -> Column:
+    """Whether the author words share one, or two long ones are a slip apart."""
+    slip = F.exists(a, lambda x: F.exists(b, lambda y: (F.least(F.length(x), F.length(y)) >= 6) & (F.levenshtein(x, y, 2) >= 0)))
+    return F.arrays_overlap(a, b) | slip
 
 
 def _are_slips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,24 +125,43 @@ def slips_folded(records: DataFrame) -> DataFrame:
     count = durable(said.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") >= 5))
     forms = durable(count.withColumn("form", F.explode(_omissions(F.col("word")))))
     near = forms.join(forms.select("form", F.col("word").alias("other"), F.col("n").alias("others")), "form").where("others > n or (others = n and other < word)")
-    near = near.select("word", "other", "others").distinct().mapInPandas(_are_slips, "word string, other string, others long")
+    near = durable(near.select("word", "other", "others").distinct())
+    # Two spellings that stand in one title are two words (a singular and its plural), not a slip.
+    together = near.join(said, "word").join(said.withColumnRenamed("word", "other"), ["record_id", "other"]).select("word", "other").distinct()
+    near = near.join(together, ["word", "other"], "left_anti").mapInPandas(_are_slips, "word string, other string, others long")
     fixed = durable(near.groupBy("word").agg(F.max_by("other", F.struct("others", "other")).alias("good")))
+    fixed = sized_broadcast(fixed)
     whole = said.join(fixed, "word", "left").groupBy("record_id").agg(F.array_sort(F.collect_set(F.coalesce("good", "word"))).alias("words"))
     return durable(records.drop("words").join(whole, "record_id").select(*records.columns))
 
 
-def _keys(records: DataFrame, skip: int, author: bool, least: int) -> DataFrame:
-    """(record_id, key): the join keys of one rule; keys with an author are one per author word."""
+def rarest_first(records: DataFrame) -> DataFrame:
+    """The records with ``rare``: their title words, the word of fewest records first."""
+    said = records.select("record_id", F.explode("words").alias("word"))
+    counts = durable(said.groupBy("word").agg(F.count("*").alias("n")))
+    order = said.join(sized_broadcast(counts), "word").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+    return durable(records.join(order.select("record_id", F.col("o.word").alias("rare")), "record_id"))
+
+
+def _keys(records: DataFrame, lost: int | None, author: bool, least: int) -> DataFrame:
+    """(key, v): the join keys of one rule as hashes, with the provider and id of the record."""
     apt = records.where(F.size("words") >= least)
-    # A whole title also stands among the shortened ones, for a copy that lost a word.
-    forms = _without(F.col("words"), skip)
-    for fewer in range(skip):
-        forms = F.concat(forms, _without(F.col("words"), fewer))
-    out = apt.withColumn("form", F.explode(F.array_distinct(forms)))
+    if not author:
+        apt = apt.where("not generic")
+    if lost is None:
+        apt, forms = apt.where("tail is not null"), F.array("tail")
+    elif lost == 0:
+        forms = F.array(F.array_join("words", " "))
+    elif author:  # one of the lost + 1 rarest words is common
+        forms = F.slice("rare", 1, lost + 1)
+    else:  # two of the lost + 2 rarest words are common
+        head = F.slice("rare", 1, lost + 2)
+        forms = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, lost + 2), lambda y: F.concat_ws(" ", F.least(x, y), F.greatest(x, y)))))
+    out = apt.withColumn("form", F.explode(forms))
+    parts = ["kind", "form"]
     if author:
-        out = out.withColumn("who", F.explode("authors"))
-        return out.select("record_id", F.concat_ws("|", "kind", "form", "who").alias("key"))
-    return out.where("not generic").select("record_id", F.concat_ws("|", "kind", "form").alias("key"))
+        out, parts = out.withColumn("who", F.explode("authors")), [*parts, "who"]
+    return out.select(F.xxhash64(*parts).alias("key"), F.struct(F.xxhash64("provider").alias("p"), F.col("record_id").alias("r")).alias("v")).distinct()
 
 
 def matched(provider_records: DataFrame) -> DataFrame:
@@ -140,57 +169,58 @@ def matched(provider_records: DataFrame) -> DataFrame:
 
     Years of a link differ by at most one where both are known; replies, parts and
     revisits only match their like; a generic title needs a common author; where
-    both records name authors they must share a name. Repeated rows count once;
-    records without a title, or with a null id or provider, match nothing.
+    both records name authors they must share a name. Of repeated rows the last
+    ingested counts; records without a title, or with a null id or provider, match
+    nothing.
     """
     base = provider_records.where("record_id is not null and provider is not null and title is not null")
-    rows = base.select("record_id", "provider", "title", "authors", "year").mapInPandas(_clean, CLEAN)
-    records = durable(rows.where(F.size("words") > 0).dropDuplicates(["record_id"]))
-    side = lambda x: records.select(F.col("record_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("provider", "authors", "year")])
-    a_side, b_side = side("a"), side("b")
+    need = ["record_id", "provider", "title", "authors", "year"]
+    has = set(base.columns)
+    base = base.select(*need, *[(F.col(c) if c in has else F.lit(None).cast(t)).alias(c) for c, t in (("venue", "string"), ("ingested_at", "timestamp"))])
+    rows = latest(base, "record_id").mapInPandas(_clean, CLEAN)
+    records = rarest_first(durable(rows.where(F.size("words") > 0)))
+    folded = rarest_first(slips_folded(records.drop("rare")))
     linked: list[DataFrame] = []
-    folded = slips_folded(records)
-    for source, (rule, skip, author, least) in [(records, r) for r in RULES] + [(folded, r) for r in WEAKER]:
-        keys = _keys(source, skip, author, least)
-        # A key is used only where two providers meet in it: everything else is dropped before the pairs form.
-        shared = keys.join(records.select("record_id", "provider"), "record_id").groupBy("key").agg(F.count_distinct("provider").alias("n")).where("n > 1")
-        keys = keys.join(shared.select("key"), "key", "left_semi")
-        left, right = keys.select("key", F.col("record_id").alias("a")), keys.select("key", F.col("record_id").alias("b"))
-        pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
-        pairs = pairs.join(a_side, "a").join(b_side, "b").where("provider_a != provider_b")
-        if linked:
-            done = reduce(DataFrame.unionByName, linked)
-            slots = durable(
-                done.select(F.col("a").alias("r"), F.col("provider_b").alias("p")).union(done.select("b", "provider_a")).distinct()
-            )
+    slots = None
+
+    def sides(pairs: DataFrame, source: DataFrame) -> DataFrame:
+        for x in "ab":
+            of = [F.col(c).alias(f"{c}_{x}") for c in ("provider", "kind", "words", "authors", "year", "venue")]
+            pairs = pairs.join(source.select(F.col("record_id").alias(x), *of), x)
+        return pairs
+
+    def judged(pairs: DataFrame, rule: str) -> DataFrame:
+        """The links with their rule's precision by the venues."""
+        links = durable(pairs.select("a", "b", "provider_a", "provider_b", (F.col("venue_a") == F.col("venue_b")).alias("agree")))
+        told = links.agg(F.count_if("agree").alias("right"), F.count("agree").alias("all")).first()
+        return links.select("a", "b", "provider_a", "provider_b", F.lit(rule).alias("rule"), F.lit((told["right"] + PRIOR_RIGHT) / (told["all"] + PRIOR_ALL)).alias("confidence"))
+
+    for rule, fold_, lost, author, least, equal in RULES:
+        source = folded if fold_ else records
+        met = pairs_within(_keys(source, lost, author, least), "key", "v").where("x.p != y.p")
+        pairs = sides(met.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")).distinct(), source).where("provider_a != provider_b and kind_a = kind_b")
+        if slots is not None:
             pairs = pairs.join(slots, (F.col("a") == slots["r"]) & (F.col("provider_b") == slots["p"]), "left_anti")
             pairs = pairs.join(slots, (F.col("b") == slots["r"]) & (F.col("provider_a") == slots["p"]), "left_anti")
-        years = F.abs(F.col("year_a") - F.col("year_b")) <= 1
+        gap = F.abs(F.col("year_a") - F.col("year_b"))
+        pairs = pairs.where(F.coalesce(gap == 0, F.lit(False)) if equal else F.coalesce(gap <= 1, F.lit(True)))
+        only_a, only_b = F.size(F.array_except("words_a", "words_b")), F.size(F.array_except("words_b", "words_a"))
+        pairs = pairs.where(F.least(only_a, only_b) == 0 if lost is None else (only_a <= lost) & (only_b <= lost))
+        pairs = pairs.where(F.size("words_a") - only_a >= least)
         both = (F.size("authors_a") > 0) & (F.size("authors_b") > 0)
-        common = F.arrays_overlap("authors_a", "authors_b")
-        if not author:
-            pairs = pairs.where(~both | common) if skip == 0 else pairs.where(~both)
-        agrees = F.coalesce(years, F.lit(True)) if author or skip < 2 else F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(False))
-        judged = durable(pairs.withColumn("rule", F.lit(rule)).withColumn("is_right", F.when(years.isNotNull(), years)).withColumn("agrees", agrees))
-        stats = judged.agg(F.count_if("is_right").alias("right"), F.count("is_right").alias("all")).first()
-        precision = (stats["right"] + PRIOR_RIGHT) / (stats["all"] + PRIOR_ALL)
-        kept = judged.where("agrees").select("a", "b", "provider_a", "provider_b", "rule", F.lit(float(precision)).alias("precision"), "is_right")
-        # Agreement on the evidence that was left out raises the estimate half way to certainty.
-        linked.append(kept.withColumn("confidence", F.when(F.col("is_right"), (1 + F.col("precision")) / 2).otherwise(F.col("precision"))).drop("is_right", "precision"))
+        common = _near(F.col("authors_a"), F.col("authors_b"))
+        pairs = pairs.where(common if author else ~both | common)
+        linked.append(judged(pairs, rule))
+        done = reduce(DataFrame.unionByName, linked)
+        slots = durable(done.select(F.col("a").alias("r"), F.col("provider_b").alias("p")).union(done.select("b", "provider_a")).distinct())
     direct = durable(reduce(DataFrame.unionByName, linked))
-    out = direct.select("a", "b", "rule", "confidence")
-    # Links of links until none is new; each round doubles the hops.
-    while True:
-        both_ways = out.select(F.col("a").alias("x"), F.col("b").alias("y"), "confidence").union(out.select("b", "a", "confidence"))
-        via = both_ways.alias("l").join(both_ways.alias("r"), (F.col("l.y") == F.col("r.x")) & (F.col("l.x") < F.col("r.y")))
-        via = via.select(F.col("l.x").alias("a"), F.col("r.y").alias("b"), (F.col("l.confidence") * F.col("r.confidence")).alias("confidence"))
-        via = via.groupBy("a", "b").agg(F.max("confidence").alias("confidence")).join(out.select("a", "b"), ["a", "b"], "left_anti")
-        via = via.join(a_side, "a").join(b_side, "b").where("provider_a != provider_b").where(F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(True)))
-        via = durable(via.select("a", "b", F.lit("through another").alias("rule"), "confidence"))
-        if via.isEmpty():
-            break
-        out = durable(out.union(via))
-    return out.groupBy(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b")).agg(
+    # Records that matched a common third, however many steps away.
+    edges = direct.select(F.explode(F.array("a", "b")).alias("name"), F.concat_ws("|", "a", "b").alias("form"))
+    groups = components(durable(edges)).join(records.select(F.col("record_id").alias("name"), F.struct(F.xxhash64("provider").alias("p"), F.col("record_id").alias("r")).alias("v")), "name")
+    met = pairs_within(groups.select("entity", "v"), "entity", "v").where("x.p != y.p").select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b"))
+    pairs = sides(met.join(direct.select("a", "b"), ["a", "b"], "left_anti"), records)
+    last = judged(pairs.where(F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(True))), "common match")
+    return direct.unionByName(last).groupBy(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b")).agg(
         F.max_by("rule", "confidence").alias("rule"), F.round(F.max("confidence"), 4).alias("confidence")
     )
 
