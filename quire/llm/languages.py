@@ -5,7 +5,8 @@ classifier predicts each bit, and a text gets the language whose codeword loses
 least against the predicted margins. Close losses are flagged as ambiguous.
 
 The classifiers are trained here on a bounded sample of labelled documents
-(``SAMPLE_DOCS`` per language, picked by a hash of the id); labels are partly
+(``SAMPLE_DOCS`` per language, picked by a hash of the id, ``SAMPLE_SENTENCES``
+sentences of each with ``SAMPLE_WORDS`` words at most); labels are partly
 wrong, so a second round drops the sentences that disagree with their label.
 Every document and every sentence is then labelled, whatever the size.
 """
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.session import durable, spread
+from quire.session import hash_sample, spread
 
 LANGUAGES = ["de", "en", "es", "fr", "pt", "ru", "zh"]
 # Other spellings of the codes above.
@@ -36,6 +37,7 @@ SPELLINGS = {
 }
 SAMPLE_DOCS = 300
 SAMPLE_SENTENCES = 12
+SAMPLE_WORDS, SAMPLE_LETTERS = 200, 40
 BITS = 15
 DIM = 1 << 15
 EPOCHS = 4
@@ -149,13 +151,9 @@ def decode(losses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return best, confidence, ((order[:, 1] - order[:, 0]) < CLOSE * (order[:, 0] + 1)) | (confidence < UNSURE)
 
 
-def train(texts: list[tuple[str, str]], seed: int = SEED) -> Model:
-    """Fit the bit classifiers on (language, text) pairs, twice, dropping disagreeing sentences between."""
+def train(data: list[tuple[int, list[str]]], seed: int = SEED) -> Model:
+    """Fit the bit classifiers on (language, words) of sentences, twice, dropping disagreeing sentences between."""
     code = codewords(seed)
-    data = []
-    for lang, text in texts:
-        whole = [w for _, _, w in sentences(text) if is_whole(w)][:SAMPLE_SENTENCES]
-        data += [(LANGUAGES.index(lang), w) for w in whole]
     rng = np.random.default_rng(seed)
     memo: dict[str, list[int]] = {}
     rows = []
@@ -184,18 +182,27 @@ def train(texts: list[tuple[str, str]], seed: int = SEED) -> Model:
     return Model(weights, code)
 
 
+def _sentences(frames):
+    for pdf in frames:
+        rows = []
+        for doc, lang, text in zip(pdf["doc_id"], pdf["is_lang"], pdf["text"]):
+            whole = [w for _, _, w in sentences(text) if is_whole(w)][:SAMPLE_SENTENCES]
+            rows += [(doc, lang, k, [w[:SAMPLE_LETTERS] for w in words[:SAMPLE_WORDS]]) for k, words in enumerate(whole)]
+        yield pd.DataFrame(rows, columns=["doc_id", "is_lang", "place", "words"])
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """Train on at most ``sample`` labelled documents per language, the first by a hash of the id."""
-    labelled = documents.select("doc_id", normal_label(F.col("lang")).alias("lang"), F.xxhash64("doc_id", F.lit(SEED)).alias("h")).where("lang is not null and doc_id is not null")
-    picked = []
-    for code in LANGUAGES:
-        # A bounded top-k per language: no window over all of one label's documents.
-        picked.append(labelled.where(F.col("lang") == code).orderBy("h", "doc_id").limit(sample))
-    ids = picked[0]
-    for p in picked[1:]:
-        ids = ids.unionByName(p)
-    rows = documents.where("text is not null").join(F.broadcast(ids.select("doc_id", F.col("lang").alias("is_lang"))), "doc_id").select("doc_id", "is_lang", F.substring("text", 1, 4000).alias("text")).distinct().orderBy("doc_id")
-    return train([(r["is_lang"], r["text"]) for r in rows.collect()])
+    """Train on at most ``sample`` labelled documents per language, the first by a hash of the id.
+
+    Of each, ``SAMPLE_SENTENCES`` whole sentences, of these ``SAMPLE_WORDS`` words,
+    cut to ``SAMPLE_LETTERS``, come to the driver, so the training data have a bound.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    labelled = documents.where("text is not null").withColumn("is_lang", normal_label(F.col("lang")))
+    ids = hash_sample(labelled, "is_lang", "doc_id", LANGUAGES, sample, SEED)
+    picked = labelled.join(F.broadcast(ids.withColumnRenamed("is_lang", "as_lang")), "doc_id").where("is_lang = as_lang").select("doc_id", "is_lang", "text")
+    rows = picked.mapInPandas(_sentences, f"doc_id {kind}, is_lang string, place int, words array<string>").distinct().orderBy("doc_id", "is_lang", "place").collect()
+    return train([(LANGUAGES.index(r["is_lang"]), list(r["words"])) for r in rows])
 
 
 SEGMENTS = "char_start int, char_end int, lang string, confidence double, ambiguous boolean, sentences int"

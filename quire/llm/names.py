@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.session import durable
+from quire.session import durable, pairs_within
 
 # Given names with their short forms.
 NICKNAMES = {
@@ -244,11 +244,11 @@ def readings(names: DataFrame) -> DataFrame:
 
 
 def _omissions(word: Column) -> Column:
-    """The word and, from five letters on, each of its one-letter omissions."""
+    """The word and, from three letters on, each of its one-letter omissions."""
     each = F.transform(
         F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))
     )
-    return F.when(F.length(word) < 5, F.array(word)).otherwise(F.array_distinct(F.array_append(each, word)))
+    return F.when(F.length(word) < 3, F.array(word)).otherwise(F.array_distinct(F.array_append(each, word)))
 
 
 def _agreement(kind: str, a: str, b: str) -> bool | None:
@@ -264,13 +264,14 @@ def _slips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         near = pdf[[a != b and one_slip(a, b) for a, b in zip(pdf["surname_a"], pdf["surname_b"])]]
         agrees = [_agreement(*x) for x in zip(near["kind"], near["given_a"], near["given_b"])]
-        yield near[["kind", "name_a", "name_b", "rarer", "commoner"]].assign(agrees=pd.array(agrees, "boolean"))
+        long = [min(len(a), len(b)) >= 4 for a, b in zip(near["surname_a"], near["surname_b"])]
+        yield near[["kind", "name_a", "name_b", "rarer", "commoner"]].assign(agrees=pd.array(agrees, "boolean"), long=long)
 
 
-def entities(names: DataFrame) -> DataFrame:
-    """(name, entity, forms): each distinct name with its entity, the least of its spellings.
+def rewritings(names: DataFrame) -> DataFrame:
+    """(name, form): each distinct name with the canonical forms that link it.
 
-    ``et al.``, empty and null names have no entity. Names are distinct already or
+    ``et al.``, empty and null names have no form. Names are distinct already or
     made so; the equi-joins carry names, never records, so a name used in a third
     of all records costs no more than any other.
     """
@@ -302,17 +303,23 @@ def entities(names: DataFrame) -> DataFrame:
         F.col("a.given").alias("given_a"), F.col("b.given").alias("given_b"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"),
         F.least("a.names", "b.names").alias("rarer"), F.greatest("a.names", "b.names").alias("commoner"),
     ).distinct()
-    near = durable(near.mapInPandas(_slips, "kind string, name_a string, name_b string, rarer long, commoner long, agrees boolean"))
+    near = durable(near.mapInPandas(_slips, "kind string, name_a string, name_b string, rarer long, commoner long, agrees boolean, long boolean"))
     # Full given names on both sides decide; initials alone follow the counts, or what the full names of this corpus show.
     told = near.where("kind = 'p'").agg(F.count_if("agrees").alias("right"), F.count("agrees").alias("all")).first()
     trusted = (told["right"] + 1) / (told["all"] + 2) >= SLIP_AGREES
     lopsided = (F.col("rarer") == 1) | (F.col("rarer") * SLIP_RATIO <= F.col("commoner"))
-    unsure = F.col("agrees").isNull() & (lopsided | (F.col("kind") == "p") & F.lit(trusted))
+    # A slip in a surname of under five letters is as often another surname: both given names have to say so.
+    unsure = F.col("agrees").isNull() & F.col("long") & (lopsided | (F.col("kind") == "p") & F.lit(trusted))
     slipped = near.where(F.col("agrees") | unsure).select("name_a", "name_b")
     joined = forms.unionByName(
         slipped.select(F.concat_ws("|", F.lit("slip"), "name_a", "name_b").alias("form"), F.explode(F.array("name_a", "name_b")).alias("name")).select("name", "form")
     )
-    return components(durable(joined))
+    return durable(joined.distinct())
+
+
+def entities(names: DataFrame) -> DataFrame:
+    """(name, entity): each distinct name with its entity, the least of its spellings."""
+    return components(rewritings(names))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -345,16 +352,19 @@ def names_in(*tables: DataFrame) -> DataFrame:
 def linked(*tables: DataFrame) -> DataFrame:
     """(name, entity, spellings, rarity): every spelling with its entity, how many it has and how telling its form is.
 
-    ``rarity`` is one over the number of names that share the rarest form of the name.
+    ``rarity`` is one over the number of names that share the rarest form by which
+    the name is linked to another; 1 where nothing links it.
     """
-    labels = durable(entities(names_in(*tables)))
+    forms = rewritings(names_in(*tables))
+    labels = durable(components(forms))
     size = labels.groupBy("entity").agg(F.count("*").alias("spellings"))
-    return labels.join(size, "entity").select("name", "entity", "spellings", F.round(1 / F.col("spellings"), 6).alias("rarity"))
+    held = forms.groupBy("form").agg(F.count("*").alias("n")).where("n > 1")
+    rare = forms.join(held, "form").groupBy("name").agg(F.min("n").alias("n"))
+    out = labels.join(size, "entity").join(rare, "name", "left")
+    return out.select("name", "entity", "spellings", F.round(1 / F.coalesce("n", F.lit(1)), 6).alias("rarity"))
 
 
 def found(*tables: DataFrame) -> DataFrame:
     """(name_a, name_b): two different spellings of one entity, the smaller first by code point."""
     labels = durable(entities(names_in(*tables)))
-    a, b = labels.alias("a"), labels.alias("b")
-    both = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.name") < F.col("b.name")))
-    return both.select(F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")).distinct()
+    return pairs_within(labels, "entity", "name").select(F.col("x").alias("name_a"), F.col("y").alias("name_b"))

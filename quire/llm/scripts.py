@@ -115,7 +115,7 @@ def resolve(word: str, around: dict[int, int]) -> str:
             return latin
     elif sets == LATIN and around.get(CYRILLIC, 0) > 0 and not around.get(LATIN, 0):
         own_form = _spell(word, CYRILLIC)
-        if own_form is not None and word.isascii() and len(word) <= 2:
+        if own_form is not None and word.isascii() and (len(word) <= 2 or not word[1:].isupper()):
             return own_form
     return word
 
@@ -131,7 +131,7 @@ def _resolve_all(text: str) -> str:
     out, last = [], 0
     for i, (a, b, w) in enumerate(words):
         s = kinds[i][0]
-        if s == HAN or s == ANY or (s == LATIN and w.isascii() and len(w) > 2) or not (s == LATIN or _ODD.search(w)):
+        if s == HAN or s == ANY or not (s == LATIN or _ODD.search(w)) or (s == LATIN and w.isascii() and len(w) > 2 and not all(ch in TO_CYRILLIC for ch in w)):
             continue
         around: dict[int, int] = {}
         for j in (i - 2, i - 1, i + 1, i + 2):
