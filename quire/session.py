@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def local_session(app: str = "quire", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -124,3 +124,21 @@ def pairs_within(members: DataFrame, key: str, item: str, block: int = BLOCK_ROW
     # Two items of one block meet under every pair of blocks with theirs; only the pair of both their own counts.
     once = (F.least("a.own", "b.own") == F.col("a.lo")) & (F.greatest("a.own", "b.own") == F.col("a.hi"))
     return a.join(b, same & once).select(F.col("a.k").alias(key), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
+
+
+def hash_sample(df: DataFrame, by: str, key: str, groups: list, n: int, seed: int) -> DataFrame:
+    """(key, by): of each listed group at most ``n`` keys, the first by a hash.
+
+    One pass counts the groups, a second keeps the keys below a hash threshold that
+    passes a little more than ``n`` of each, and only those few are ranked, so a
+    group with a third of all rows is never sorted.
+    """
+    own = df.where(F.col(by).isin(groups) & F.col(key).isNotNull()).select(key, by)
+    counts = {r[by]: r["n"] for r in own.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return own.limit(0)
+    share = {g: min(1.0, (n + 10 * n**0.5 + 30) / c) for g, c in counts.items()}
+    draw = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    few = own.withColumn("draw", draw).where(F.col("draw") < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col(by)])
+    place = F.row_number().over(Window.partitionBy(by).orderBy("draw", key))
+    return few.distinct().withColumn("place", place).where(F.col("place") <= n).select(key, by)
