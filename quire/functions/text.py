@@ -28,11 +28,14 @@ def casefold(text: Column) -> Column:
 def rank_tokens(text: Column) -> Column:
     """Ranking tokens; runs of CJK characters also give their bigrams. Null text gives null."""
     raw = F.regexp_extract_all(casefold(text), F.lit(f"({RANK_TOKEN})"), 1)
-    at = F.sequence(F.lit(0), F.size(raw) - 2)
-    both = lambda i: F.get(raw, i).rlike(f"^{CJK}$") & F.get(raw, i + 1).rlike(f"^{CJK}$")
-    pairs = F.transform(F.filter(at, both), lambda i: F.concat(F.get(raw, i), F.get(raw, i + 1)))
-    # Most texts hold no CJK; their tokens are not walked a second time.
-    return F.when(F.size(raw) < 2, raw).when(~text.rlike(CJK), raw).otherwise(F.concat(raw, pairs))
+
+    def with_pairs(said: Column) -> Column:
+        both = lambda i: F.get(said, i).rlike(f"^{CJK}$") & F.get(said, i + 1).rlike(f"^{CJK}$")
+        pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(said) - 2), both), lambda i: F.concat(F.get(said, i), F.get(said, i + 1)))
+        return F.when(F.size(said) < 2, said).otherwise(F.concat(said, pairs))
+
+    # Bound once by the outer transform, else every step would search the text again; most texts hold no CJK.
+    return F.when(text.rlike(CJK), F.get(F.transform(F.array(raw), with_pairs), F.lit(0))).otherwise(raw)
 
 
 def plain_tokens(text: Column) -> Column:
@@ -57,13 +60,27 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?。！？])\s+(?=[A-Z\"'“‘一-鿿])")
 
 
+#: Steps that bring a written number to its value: leading zeros, a bare point, zeros behind the point, minus zero.
+NUMBER_FORMS = [
+    (r"^(-?)0+([0-9])", r"\1\2"), (r"^(-?)\.", r"\1" + "0."), (r"(\.[0-9]*[1-9])0+(%?)$", r"\1\2"), (r"\.0*(%?)$", r"\1"), (r"^-0(%?)$", r"0\1"),
+]
 NUMBER = r"(?:^|[^\p{L}\p{N}_])([-−–]?[+]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][-−–]?[0-9]+)?[ ]?%?)"
 
 
+def number_value(said: Column) -> Column:
+    """A number as its value: no plus sign, no zeros that do not count; a percentage keeps its sign, so 0.50 is 0.5 and not 50%."""
+    x = F.translate(said, "−– +", "--")
+    power = F.concat(F.regexp_replace(x, "%", "").try_cast("double").cast("decimal(38,12)").cast("string"), F.when(x.contains("%"), "%").otherwise(""))
+    x = F.when(x.rlike("[eE]"), F.coalesce(power, x)).otherwise(x)
+    for pattern, into in NUMBER_FORMS:
+        x = F.regexp_replace(x, pattern, into.replace("\\", "$"))
+    return x
+
+
 def numbers(text: Column) -> Column:
-    """The distinct numbers of a text as written, dashes and blanks normalised; percentages keep their sign."""
+    """The sorted distinct numbers of a text by value (:func:`number_value`)."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), 1)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.replace(F.translate(x, "−–", "--"), F.lit(" "), F.lit("")))))
+    return F.array_sort(F.array_distinct(F.transform(found, number_value)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

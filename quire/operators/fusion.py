@@ -49,9 +49,12 @@ def fused(candidates: DataFrame, least_overlap: float = 0.25, least_text: float
                     break
             else:
                 kept.append({**r, "members": 1})
-        rows = [{**{c: k[c] for c in ("page", "region", "candidate_id", "backend", "kind", "text", "score", "members")}, **{c: (k["bbox"] or {}).get(c) if k["bbox"] is not None else None for c in ("x0", "y0", "x1", "y1")}} for k in kept]
+        rows = [{**{c: k[c] for c in k if c in schema.replace(",", "").split()[::2] and c not in ("x0", "y0", "x1", "y1")}, **{c: (k["bbox"] or {}).get(c) if k["bbox"] is not None else None for c in ("x0", "y0", "x1", "y1")}} for k in kept]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
+    if "paper_version_id" in candidates.columns:  # pages of several documents stay apart
+        fields, schema = ["paper_version_id", *fields], "paper_version_id string, " + schema
+        return tokens.select(*fields, "tokens").groupBy("paper_version_id", "page", "region").applyInPandas(run, schema)
     return tokens.select(*fields, "tokens").groupBy("page", "region").applyInPandas(run, schema)
 
 

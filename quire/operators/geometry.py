@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 LINE = "paper_version_id string, page int, line int, x0 double, y0 double, x1 double, y1 double, text string"
 
@@ -70,19 +70,27 @@ def paragraphs(ordered: DataFrame) -> DataFrame:
     )
 
 
-def grid(spans: DataFrame, rows: list[float], columns: list[float], margin: float = 1.0) -> list[list[str]]:
-    """Span texts (x0, y0, x1, y1, text) of one table in the cells between sorted edges; empty columns are dropped."""
-    got = spans.select("x0", "y0", "x1", "y1", "text").orderBy("y0", "x0").collect()
-    cells = [[[] for _ in columns[1:]] for _ in rows[1:]]
-    for s in got:
-        cx, cy = s["x0"] + 0.45 * (s["x1"] - s["x0"]), (s["y0"] + s["y1"]) / 2
-        for i in range(len(rows) - 1):
-            for j in range(len(columns) - 1):
-                if rows[i] - margin <= cy < rows[i + 1] + margin and columns[j] - margin <= cx < columns[j + 1] + margin and not any(s["text"] in c for r in cells for c in r):
-                    cells[i][j].append(s["text"])
-    filled = [[" ".join(c) for c in r] for r in cells]
-    used = [j for j in range(len(columns) - 1) if any(r[j] for r in filled)]
-    return [[r[j] for j in used] for r in filled]
+def grid(spans: DataFrame, edges: DataFrame, margin: float = 1.0) -> DataFrame:
+    """(table_id, row, column, text): the span texts in the cells of their tables.
+
+    ``spans`` are (table_id, x0, y0, x1, y1, text), ``edges`` (table_id, rows,
+    columns) with sorted coordinates. A span falls in every cell whose bounds,
+    widened by ``margin``, hold its anchor at 45 % of its width and height; texts of
+    a cell follow the reading order of their middles. Columns without any text are
+    left out and the others renumbered. A range join per table, never collected.
+    """
+    def bands(side: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(side) - 2), lambda i: F.struct(i.alias("at"), F.get(F.col(side), i).alias("lo"), F.get(F.col(side), i + 1).alias("hi")))
+
+    apt = edges.where("size(rows) > 1 and size(columns) > 1")
+    cells = apt.select("table_id", F.explode(bands("rows")).alias("r"), "columns").select("table_id", "r", F.explode(bands("columns")).alias("c"))
+    anchor = spans.where("text is not null").select(
+        "table_id", "text", (F.col("x0") + 0.45 * (F.col("x1") - F.col("x0"))).alias("cx"), (F.col("y0") + 0.45 * (F.col("y1") - F.col("y0"))).alias("cy"))
+    within = (F.col("cy") >= F.col("r.lo") - margin) & (F.col("cy") <= F.col("r.hi") + margin) & (F.col("cx") >= F.col("c.lo") - margin) & (F.col("cx") <= F.col("c.hi") + margin)
+    held = cells.join(anchor, "table_id").where(within).groupBy("table_id", F.col("r.at").alias("row"), F.col("c.at").alias("at")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "text"))), lambda s: s["text"]), " ").alias("text"))
+    used = held.groupBy("table_id").agg(F.array_sort(F.collect_set("at")).alias("used"))
+    return held.join(used, "table_id").select("table_id", "row", (F.array_position("used", F.col("at")) - 1).cast("int").alias("column"), "text")
 
 
 def merged_edges(values: list[float], near: float = 3.0) -> list[float]:

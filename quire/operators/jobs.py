@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Weight of each stage in a job's progress.
-WEIGHTS = {"view": 0.1, "click": 0.2, "purchase": 0.4, "signup": 0.3}
+# Weight of each stage in a job's progress.
+WEIGHTS = {
+    "file_validation": 0.05, "metadata_and_pages": 0.10, "layout_and_text": 0.25, "sections": 0.12,
+    "assets": 0.18, "references": 0.10, "index": 0.10, "initial_translation": 0.10,
+}
 
 
-def progress(events: DataFrame, weights: dict[str, float]) -> DataFrame:
+def progress(events: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(job_id, progress): sum of weight times the largest ratio of each stage, at most 1."""
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
     by = events.groupBy("job_id", "stage").agg(F.max("ratio").alias("ratio"))

@@ -21,8 +21,8 @@ INTENTS = [
 ]
 # Fields of work and the words that show them.
 DOMAINS = [
-    ("retrieval", r"\b(retriev|rank|search)"), ("vision", r"\b(image|pixel|segment|detect)"), ("language", r"\b(language|translat|token)"),
-    ("layout", r"\b(page|layout|column|table)"), ("learning", r"\b(train|teacher|student|distill)"), ("systems", r"\b(latency|throughput|memory|cache)"),
+    ("目标检测", r"object\s+detection|目标检测"), ("语义分割", r"semantic\s+segmentation|语义分割"), ("大语言模型", r"large\s+language|大语言模型"),
+    ("强化学习", r"reinforcement\s+learning|强化学习"), ("知识图谱", r"knowledge\s+graph|知识图谱"), ("图像生成", r"image\s+generation|图像生成"),
 ]
 
 

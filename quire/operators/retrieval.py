@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.text import plain_tokens, rank_tokens
-from quire.session import spread
+from quire.session import durable, spread
 
 K1, B = 1.5, 0.75
 
@@ -26,6 +26,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, key: str, text: str, k: int, tok
     units = units.crossJoin(wanted).select(
         key, F.size("t").alias("length"), F.filter("t", lambda x: F.array_contains("wanted", x)).alias("hits"), *(["boost"] if extra else [])
     )
+    units = durable(units)  # tokenised once for lengths, frequencies and scores
     totals = units.agg(F.count("*").alias("units"), F.avg("length").alias("average"))
     tf = units.select(key, "length", F.explode("hits").alias("term"), *(["boost"] if extra else [])).groupBy(key, "length", "term", *(["boost"] if extra else [])).agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

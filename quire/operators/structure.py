@@ -28,7 +28,7 @@ SECTION_PATTERNS = [
     (r"(?:^|\s)implementation details", "method"), ("problem formulation", "method"), (r"fine[- ]?tuning", "method"),
     (r"meta[- ]?learning", "method"), (r"^algorithms?\s+for", "method"), ("main results", "results"),
 ]
-NUMBERING = r"^\s*(?:[0-9]+(?:\.[0-9]+)*|[A-Z])[.)]?\s+"
+NUMBERING = r"(?i)^\s*(?:section\s+)?(?:[0-9]+(?:\.[0-9]+){0,3}|[ivxlcdm]+|[A-Z])[.)]?\s+"
 
 
 def canonical_section(title: Column) -> Column:
@@ -162,7 +162,8 @@ def page_gate(blocks: DataFrame) -> DataFrame:
 
     LOW for tiny blocks over 3 %, numeric cells in the body, reading-order
     inversions over max(1, 2 %) or fewer than 150 characters; SUSPECT for single
-    characters over 3 %; pages without text blocks are left out.
+    characters over 3 %; pages from the first to the version's last without text
+    blocks are GOOD.
     """
     body = blocks.where((F.col("block_type") == "TEXT") & (F.trim("text") != ""))
     order = W.partitionBy("paper_version_id", "page").orderBy("block_index", "block_id")
@@ -177,9 +178,14 @@ def page_gate(blocks: DataFrame) -> DataFrame:
     )
     low = (F.col("tiny") / F.col("blocks") > 0.03) | (F.col("contaminated") > 0) | (F.col("inversions") > F.greatest(F.lit(1), F.floor(F.col("blocks") * 0.02))) | (F.col("chars") < 150)
     verdict = F.when(low, "LOW").when(F.col("single") / F.col("blocks") > 0.03, "SUSPECT").otherwise("GOOD")
-    return by.select(
-        "paper_version_id", "page", "blocks", F.round(F.col("tiny") / F.col("blocks"), 4).alias("tiny_ratio"),
-        F.round(F.col("single") / F.col("blocks"), 4).alias("single_ratio"), "contaminated", "inversions", "chars", verdict.alias("verdict"),
+    last = blocks.groupBy("paper_version_id").agg(F.max("page").alias("last")).where("last >= 1")
+    pages = last.select("paper_version_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page"))
+    scored = by.withColumn("verdict", verdict)
+    none = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return pages.join(scored, ["paper_version_id", "page"], "left").select(
+        "paper_version_id", "page", none("blocks"), F.coalesce(F.round(F.col("tiny") / F.col("blocks"), 4), F.lit(0.0)).alias("tiny_ratio"),
+        F.coalesce(F.round(F.col("single") / F.col("blocks"), 4), F.lit(0.0)).alias("single_ratio"), none("contaminated"), none("inversions"), none("chars"),
+        F.coalesce("verdict", F.lit("GOOD")).alias("verdict"),
     )
 
 

@@ -8,6 +8,8 @@ from quire.functions import text as T
 from quire.operators import compare as C, evidence as E, jobs as J, records as K, terms as M
 from quire.sources.tables import latest, table
 
+#: The event types of the table read as stages of a job.
+EVENT_STAGES = {"view": "file_validation", "click": "metadata_and_pages", "purchase": "layout_and_text", "signup": "sections"}
 _RES = "(SELECT DISTINCT ON (result_id) * FROM results ORDER BY result_id, ingested_at DESC NULLS LAST)"
 _KEY = "CASE regexp_replace(lower(trim(coalesce({c}, ''))), '[_\\- ]+', ' ', 'g') " + " ".join(f"WHEN '{a}' THEN '{d}'" for a, d in C.DATASETS.items()) + " ELSE regexp_replace(lower(trim(coalesce({c}, ''))), '[_\\- ]+', ' ', 'g') END"
 _key = lambda c: _KEY.replace("{c}", c)
@@ -176,8 +178,9 @@ def topic_alignment(spark, root):
 
 
 def _stage_events(spark, root):
+    STAGE_OF = F.create_map(*[F.lit(x) for kv in EVENT_STAGES.items() for x in kv])
     e = table(spark, root, "events", "user_id", "event_type", "ts", "value")
-    return e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), "ts", F.least(F.lit(1.0), F.col("value") / 20).alias("ratio"))
+    return e.select(F.col("user_id").alias("job_id"), STAGE_OF[F.col("event_type")].alias("stage"), "ts", F.least(F.lit(1.0), F.col("value") / 20).alias("ratio"))
 
 
 def job_progress(spark, root):
@@ -244,8 +247,16 @@ _CELLS = f"cells AS (SELECT paper_id, {_key('metric')} AS dimension, max(nullif(
 _NEG = ", ".join(f"'{w}'" for w in E.NEGATIONS)
 _ZH = ", ".join(f"'{w}'" for w in E.NEGATIONS_ZH)
 _CMP = ", ".join(f"'{w}'" for w in E.COMPARATORS)
+
+
+def _value_sql(x: str) -> str:
+    for pattern, into in T.NUMBER_FORMS:
+        x = f"regexp_replace({x}, '{pattern}', '{into}')"
+    return x
+
+
 _W = "CASE stage " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in J.WEIGHTS.items()) + " ELSE 0 END"
-_STAGES = "(SELECT user_id AS job_id, event_type AS stage, ts, least(1.0, value / 20) AS ratio FROM events)"
+_STAGES = "(SELECT user_id AS job_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_STAGES.items()) + " END AS stage, ts, least(1.0, value / 20) AS ratio FROM events)"
 _TERM_VALUES = ", ".join(f"('{s}', '{t}')" for s, t in _TERMS)
 SQL = {
     "papers_overview": f"""SELECT paper_id, (SELECT count(*) FROM {_V} v WHERE v.paper_id = p.paper_id) AS versions,
@@ -284,11 +295,14 @@ SQL = {
         UNION ALL SELECT 'c-' || doc_id, (doc_id + 1)::VARCHAR, q, 5, 45 FROM d UNION ALL SELECT 'd-' || doc_id, NULL, q, 5, 45 FROM d UNION ALL SELECT 'e-' || doc_id, doc_id::VARCHAR, q, 5, 1000000 FROM d),
       j AS (SELECT l.*, d.text AS x, substring(d.text, s + 1, e - s) = l.q AS there, CASE WHEN length(l.q) > 0 THEN (length(d.text) - length(replace(d.text, l.q, ''))) / length(l.q) ELSE 0 END AS n
         FROM l LEFT JOIN d ON d.doc_id::VARCHAR = l.ev),
-      r AS (SELECT *, CASE WHEN x IS NULL THEN 'UNKNOWN_EVIDENCE' WHEN s < 0 OR e > length(x) OR s >= e THEN 'SPAN_OUT_OF_RANGE' WHEN there OR n = 1 THEN NULL WHEN n > 1 THEN 'AMBIGUOUS_QUOTE' ELSE 'QUOTE_NOT_FOUND' END AS reason FROM j)
+      r AS (SELECT *, CASE WHEN x IS NULL THEN 'UNKNOWN_EVIDENCE_ID' WHEN s < 0 OR e > length(x) OR s >= e THEN 'QUOTE_SPAN_OUT_OF_RANGE' WHEN there OR n = 1 THEN NULL ELSE 'QUOTE_NOT_UNIQUE_LITERAL_SUBSTRING' END AS reason FROM j)
       SELECT claim_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN there THEN s WHEN n = 1 THEN instr(x, q) - 1 END END AS at FROM r""",
-    "claim_numbers": r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([-−–]?[+]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][-−–]?[0-9]+)?[ ]?%?)', 1),
-      lambda x: replace(replace(replace(x, '−', '-'), '–', '-'), ' ', '')))), ' ') AS numbers FROM documents""",
-    "claim_negation": f"""SELECT doc_id, array_to_string(list_sort(list_concat(list_intersect(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z]+')), [{_NEG}]), list_filter([{_ZH}], lambda w: contains(text, w)))), ' ') AS negations,
+    "claim_numbers": f"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '{T.NUMBER}', 1)) AS said FROM documents),
+      x AS (SELECT doc_id, replace(replace(replace(replace(said, '−', '-'), '–', '-'), ' ', ''), '+', '') AS x FROM n),
+      e AS (SELECT doc_id, CASE WHEN contains(lower(x), 'e') THEN CAST(CAST(CAST(replace(x, '%', '') AS DOUBLE) AS DECIMAL(38,12)) AS VARCHAR) || CASE WHEN contains(x, '%') THEN '%' ELSE '' END ELSE x END AS x FROM x),
+      v AS (SELECT DISTINCT doc_id, {_value_sql('x')} AS v FROM e)
+      SELECT d.doc_id, coalesce(string_agg(v, ' ' ORDER BY v), '') AS numbers FROM documents d LEFT JOIN v USING (doc_id) WHERE text IS NOT NULL GROUP BY d.doc_id""",
+    "claim_negation": f"""SELECT doc_id, array_to_string(list_sort(list_concat(list_intersect(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z]+')), [{_NEG}]), list_distinct(regexp_extract_all(text, '{E.ZH_LONGEST_FIRST}')))), ' ') AS negations,
       array_to_string(list_sort(list_filter([{_CMP}], lambda w: contains(replace(lower(text), 'ß', 'ss'), w))), ' ') AS comparators FROM documents""",
     "tm_exact": r"""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents),
       g AS (SELECT h, min(doc_id) AS first FROM d GROUP BY h HAVING count(*) > 1) SELECT doc_id, first FROM d JOIN g USING (h)""",

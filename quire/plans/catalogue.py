@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quire.operators import units
-from quire.plans import analysis, document, inquiry, retrieve
+from quire.plans import analysis, document, inquiry, retrieve, structure
 from quire.sources.tables import table
 
-PARTS = [retrieve, document, analysis, inquiry]
+PARTS = [retrieve, document, analysis, inquiry, structure]
 
 
 def p1_found(spark, root):

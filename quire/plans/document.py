@@ -21,7 +21,7 @@ def one_sections(spark, root):
 
 
 def _alias_sql() -> str:
-    name = r"trim(regexp_replace(replace(lower(regexp_replace(title, '^\s*(?:[0-9]+(?:\.[0-9]+)*|[A-Z])[.)]?\s+', '')), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g'))"
+    name = r"trim(regexp_replace(replace(lower(regexp_replace(title, '^\s*(?:section\s+)?(?:[0-9]+(?:\.[0-9]+){0,3}|[ivxlcdm]+|[A-Z])[.)]?\s+', '', 'i')), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g'))"
     quoted = lambda names: ", ".join(f"'{n}'" for n in names)
     exact = " ".join(f"WHEN name IN ({quoted(v)}) THEN '{k}'" for k, v in S.SECTION_NAMES.items())
     last = " ".join(f"WHEN len(words) <= 5 AND words[-1] IN ({quoted(v)}) THEN '{k}'" for k, v in S.SECTION_NAMES.items())
@@ -173,8 +173,9 @@ SQL = {
         FROM (SELECT *, {_TOK} AS tok FROM {_ONE}) WHERE block_type = 'TEXT' AND trim(text) != '' WINDOW w AS (PARTITION BY paper_version_id, page ORDER BY block_index, block_id)),
       g AS (SELECT paper_version_id, page, count(*) AS blocks, count_if(n <= 2) AS tiny, count_if(n = 1) AS single, count_if(cell)::BIGINT AS contaminated,
         count_if(up)::BIGINT AS inversions, sum(chars)::BIGINT AS chars FROM m GROUP BY ALL)
-      SELECT paper_version_id, page, blocks, round(tiny / blocks, 4) AS tiny_ratio, round(single / blocks, 4) AS single_ratio, contaminated, inversions, chars,
-        CASE WHEN tiny / blocks > 0.03 OR contaminated > 0 OR inversions > greatest(1, floor(blocks * 0.02)) OR chars < 150 THEN 'LOW' WHEN single / blocks > 0.03 THEN 'SUSPECT' ELSE 'GOOD' END AS verdict FROM g""",
+      SELECT paper_version_id, page, coalesce(blocks, 0) AS blocks, coalesce(round(tiny / blocks, 4), 0) AS tiny_ratio, coalesce(round(single / blocks, 4), 0) AS single_ratio,
+        coalesce(contaminated, 0) AS contaminated, coalesce(inversions, 0) AS inversions, coalesce(chars, 0) AS chars, CASE WHEN tiny / blocks > 0.03 OR contaminated > 0 OR inversions > greatest(1, floor(blocks * 0.02)) OR chars < 150 THEN 'LOW' WHEN single / blocks > 0.03 THEN 'SUSPECT' ELSE 'GOOD' END AS verdict
+        FROM (SELECT paper_version_id, unnest(range(1, last_ + 1))::INT AS page FROM (SELECT paper_version_id, max(page) AS last_ FROM blocks GROUP BY 1)) LEFT JOIN g USING (paper_version_id, page)""",
     "quality_report": rf"""WITH p AS (SELECT paper_version_id, page, length(text) AS chars, len(regexp_extract_all(text, '\S+')) < 4 AND length(text) < 16 AS tiny,
         coalesce(bbox.y0 < lag(bbox.y0) OVER (PARTITION BY paper_version_id, page ORDER BY block_index, block_id) - 1, false) AS up FROM {_ONE} WHERE block_type = 'TEXT'),
       g AS (SELECT paper_version_id, page, sum(chars) AS chars, count(*) AS n, count_if(tiny) AS tiny, count_if(up) AS up FROM p GROUP BY ALL),
