@@ -64,7 +64,7 @@ def sentences(text: Column) -> Column:
 NUMBER_FORMS = [
     (r"^(-?)0+([0-9])", r"\1\2"), (r"^(-?)\.", r"\1" + "0."), (r"(\.[0-9]*[1-9])0+(%?)$", r"\1\2"), (r"\.0*(%?)$", r"\1"), (r"^-0(%?)$", r"0\1"),
 ]
-NUMBER = r"(?:^|[^\p{L}\p{N}_])([-−–]?[+]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][-−–]?[0-9]+)?[ ]?%?)"
+NUMBER = r"(?:^|[^\p{L}\p{N}_])([-−–]?[+]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][-−–]?[0-9]+)?(?:[ ]*%)?)"
 
 
 def number_value(said: Column) -> Column:

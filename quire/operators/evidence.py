@@ -63,8 +63,8 @@ def locate(links: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def sentence_at(text: Column, at: Column) -> Column:
     """The sentence of a text that holds the character at a 0-based place."""
-    before, after = F.substring(text, F.lit(1), at), F.substring(text, at + 1, F.length(text))
-    return F.concat(F.element_at(sentences(F.concat(before, F.lit("\x01"))), -1), F.get(sentences(F.concat(F.lit("\x01"), after)), F.lit(0)))
+    upto, rest = F.substring(text, F.lit(1), at + 1), F.substring(text, at + 1, F.length(text))
+    return F.concat(F.element_at(sentences(upto), -1), F.substring(F.get(sentences(rest), F.lit(0)), 2, 2147483647))
 
 
 def guard(claims: DataFrame, links: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def guard(claims: DataFrame, links: DataFrame, ledger: DataFrame) -> DataFrame:
     checked = locate(links, ledger)
     valid = F.col("reason").isNull()
     said = F.when(valid, F.col("excerpt")).otherwise("")
-    context = F.when(valid, F.translate(sentence_at(F.col("excerpt"), F.col("at")), "\x01", "")).otherwise("")
+    context = F.when(valid, sentence_at(F.col("excerpt"), F.col("at"))).otherwise("")
     by = checked.groupBy("claim_id").agg(
         F.collect_set("reason").alias("bad"), F.count_if(valid).alias("valid"),
         F.array_distinct(F.flatten(F.collect_list(numbers(said)))).alias("has_numbers"),

@@ -130,7 +130,7 @@ def corpus_units(spark, root):
 
 def tenant_papers(spark, root):
     p = latest(table(spark, root, "papers", "paper_id", "user_id", "created_at"), "paper_id", "created_at")
-    return V.owned(p, "").select("paper_id", "user_id")
+    return V.owned(p, "guest").select("paper_id", "user_id")
 
 
 def scoped_chunks(spark, root):
@@ -304,7 +304,7 @@ SQL = {
     "author_surnames": r"""WITH n AS (SELECT DISTINCT record_id, authors[1] AS name FROM provider_records WHERE regexp_full_match(authors[1], '[ -~]+'))
       SELECT record_id, name, string_split(trim(regexp_replace(lower(CASE WHEN contains(name, ',') THEN split_part(name, ',', 1) ELSE name END), '[^a-z0-9]+', ' ', 'g')), ' ')[-1] AS surname FROM n""",
     "corpus_units": f"SELECT chunk_id AS unit_id, paper_version_id, page_start AS page FROM {_CH} WHERE chunk_id IS NOT NULL AND trim(text) != '' AND paper_version_id IN (SELECT version_id FROM paper_versions WHERE parse_status IS NOT NULL)",
-    "tenant_papers": "SELECT paper_id, user_id FROM (SELECT DISTINCT ON (paper_id) * FROM papers ORDER BY paper_id, created_at DESC NULLS LAST) WHERE user_id = ''",
+    "tenant_papers": "SELECT paper_id, user_id FROM (SELECT DISTINCT ON (paper_id) * FROM papers ORDER BY paper_id, created_at DESC NULLS LAST) WHERE user_id = 'guest'",
     "scoped_chunks": f"""WITH h AS (SELECT DISTINCT chunk_id FROM (SELECT chunk_id, unnest(block_ids) AS block_id FROM {_CH}) WHERE block_id IN (SELECT block_id FROM {_ONE} WHERE block_type = 'FORMULA'))
       SELECT chunk_id FROM {_CH} WHERE chunk_id IN (SELECT chunk_id FROM h) OR NOT EXISTS (SELECT 1 FROM h)""",
     "results_containing": "SELECT result_id FROM (SELECT DISTINCT ON (result_id) * FROM results ORDER BY result_id, ingested_at DESC NULLS LAST) WHERE contains(lower(metric), 'time')",
