@@ -197,11 +197,11 @@ def matched(provider_records: DataFrame) -> DataFrame:
 
     for rule, fold_, lost, author, least, equal in RULES:
         source = folded if fold_ else records
-        met = pairs_within(_keys(source, lost, author, least), "key", "v").where("x.p != y.p")
-        pairs = sides(met.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")).distinct(), source).where("provider_a != provider_b and kind_a = kind_b")
-        if slots is not None:
-            pairs = pairs.join(slots, (F.col("a") == slots["r"]) & (F.col("provider_b") == slots["p"]), "left_anti")
-            pairs = pairs.join(slots, (F.col("b") == slots["r"]) & (F.col("provider_a") == slots["p"]), "left_anti")
+        met = pairs_within(_keys(source, lost, author, least), "key", "v").where("x.p != y.p").select("x", "y").distinct()
+        if slots is not None:  # before anything else is looked up
+            for one, other in (("x", "y"), ("y", "x")):
+                met = met.join(slots, (F.col(f"{one}.r") == slots["r"]) & (F.col(f"{other}.p") == slots["p"]), "left_anti")
+        pairs = sides(met.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")), source).where("provider_a != provider_b and kind_a = kind_b")
         gap = F.abs(F.col("year_a") - F.col("year_b"))
         pairs = pairs.where(F.coalesce(gap == 0, F.lit(False)) if equal else F.coalesce(gap <= 1, F.lit(True)))
         only_a, only_b = F.size(F.array_except("words_a", "words_b")), F.size(F.array_except("words_b", "words_a"))
@@ -212,7 +212,7 @@ def matched(provider_records: DataFrame) -> DataFrame:
         pairs = pairs.where(common if author else ~both | common)
         linked.append(judged(pairs, rule))
         done = reduce(DataFrame.unionByName, linked)
-        slots = durable(done.select(F.col("a").alias("r"), F.col("provider_b").alias("p")).union(done.select("b", "provider_a")).distinct())
+        slots = durable(done.select(F.col("a").alias("r"), F.xxhash64("provider_b").alias("p")).union(done.select("b", F.xxhash64("provider_a"))).distinct())
     direct = durable(reduce(DataFrame.unionByName, linked))
     # Records that matched a common third, however many steps away.
     edges = direct.select(F.explode(F.array("a", "b")).alias("name"), F.concat_ws("|", "a", "b").alias("form"))

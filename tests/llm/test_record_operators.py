@@ -80,6 +80,25 @@ def test_works_with_slips_in_two_words(spark):
     assert {(1, 2), (3, 4)} | {(i, j) for i in range(5, 9) for j in range(i + 1, 9)} == got
 
 
+def test_works_by_tail_and_near_authors(spark):
+    """A subtitle alone meets its whole title through an author; authors a slip apart count as common; singular and plural stay apart."""
+    a = ["Nora Tekobrelo", "Jan Other"]
+    data = [
+        (1, "x", "Learning the Viewpoint Embedding: Auxiliary Column under Spectral Depth", a, 2009), (2, "y", "Auxiliary Column under Spectral Depth", a, 2009),
+        (3, "x", "Gadovrank: Marginal Codebook for Curated Skew", ["Nora Gradudruno"], 2020), (4, "y", "Gadovrank: Marginal Codebook for Curated Skew", ["N. Gradudrunko"], 2020),
+        (5, "x", "Spectral Captions and Smooth Ledgers in Probabilistic Caption", ["Eva Third"], 2019), (6, "y", "Spectral Captions and Ledgers in Probabilistic Caption", None, None),
+        (7, "y", "Auxiliary Column under Spectral Depth", ["Paul Else"], 2001), (None, "z", "Auxiliary Column under Spectral Depth", a, 2009),
+    ]
+    df = spark.createDataFrame(data, R).withColumn("venue", F.lit("Journal of Tests")).withColumn("lost", F.lit("clash"))
+    assert {tuple(r) for r in works.found(df).collect()} == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_entities_rarity(spark):
+    df = spark.createDataFrame([(["Zoë Mokráperge", "Z. Mokráperge", "Mokráperge, Zoë", "Ursula Lone"],)], "authors array<string>")
+    got = {r["name"]: (r["spellings"], r["rarity"]) for r in names.linked(df).collect()}
+    assert got["Ursula Lone"] == (1, 1.0) and got["Z. Mokráperge"] == (3, round(1 / 3, 6)) and got["Zoë Mokráperge"] == (3, 0.5)
+
+
 def test_hot_title(spark):
     """A generic title in a third of the rows links only what shares an author."""
     data = [(i, f"p{i % 3}", "An Overview of Tables", [f"Nora N{i // 3:03d}lastname"], 2010) for i in range(300)]
