@@ -4,8 +4,8 @@ A cascade of deterministic rules, each an equi-join on a weaker combination of
 attributes: all title words with an author, all title words alone, the same on
 words whose slips are folded, then titles that differ by one word and by two. Two
 titles that lose at most ``k`` words each share ``j`` of the ``k + j`` rarest words
-of either, so the joins are on single rare words with an author, or on pairs of
-rare words, and the titles of what meets are compared. A record that a pass has
+of either, so the joins are on two rare words with an author, or on three rare
+words, and the titles of what meets are compared. A record that a pass has
 linked to a provider is left out of later passes towards that provider. The last
 rule joins records that matched a common third one. A rule's confidence is its
 smoothed precision on its links whose venues, which no rule reads, are known on
@@ -143,6 +143,14 @@ def rarest_first(records: DataFrame) -> DataFrame:
     return durable(records.join(order.select("record_id", F.col("o.word").alias("rare")), "record_id"))
 
 
+def _choices(words: Column, n: int) -> Column:
+    """Every choice of ``n`` of the words, joined in alphabetical order."""
+    if n == 1:
+        return words
+    head = F.array_sort(words)
+    return F.flatten(F.transform(head, lambda x, i: F.transform(_choices(F.slice(head, i + 2, F.size(head)), n - 1), lambda y: F.concat_ws(" ", x, y))))
+
+
 def _keys(records: DataFrame, lost: int | None, author: bool, least: int) -> DataFrame:
     """(key, v): the join keys of one rule as hashes, with the provider and id of the record."""
     apt = records.where(F.size("words") >= least)
@@ -152,11 +160,8 @@ def _keys(records: DataFrame, lost: int | None, author: bool, least: int) -> Dat
         apt, forms = apt.where("tail is not null"), F.array("tail")
     elif lost == 0:
         forms = F.array(F.array_join("words", " "))
-    elif author:  # one of the lost + 1 rarest words is common
-        forms = F.slice("rare", 1, lost + 1)
-    else:  # two of the lost + 2 rarest words are common
-        head = F.slice("rare", 1, lost + 2)
-        forms = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, lost + 2), lambda y: F.concat_ws(" ", F.least(x, y), F.greatest(x, y)))))
+    else:  # two (without an author three) of the rarest words are common
+        forms = _choices(F.slice("rare", 1, lost + (2 if author else 3)), 2 if author else 3)
     out = apt.withColumn("form", F.explode(forms))
     parts = ["kind", "form"]
     if author:
