@@ -19,14 +19,15 @@ def test_guard(spark):
     df = spark.createDataFrame(claims, "claim_id string, text string, evidence_id string, quote string, char_start int, char_end int")
     got = {r["claim_id"]: (r["accepted"], r["reasons"]) for r in E.guard(df.select("claim_id", "text"), df.drop("text"), ledger).collect()}
     assert got["good"] == (True, []) and got["moved"] == (True, [])
-    assert got["number"][1] == ["NUMBER_NOT_IN_EVIDENCE"] and got["negated"][1] == ["NEGATION_NOT_SUPPORTED"]
-    assert got["unknown"][1] == ["UNKNOWN_EVIDENCE"] and got["range"][1] == ["SPAN_OUT_OF_RANGE"]
-    assert got["twice"][1] == ["AMBIGUOUS_QUOTE"] and got["null"][1] == ["UNKNOWN_EVIDENCE"]
+    assert got["number"][1] == ["NUMBER_NOT_IN_EVIDENCE:13%"] and got["negated"][1] == ["NEGATION_CONTEXT_MISMATCH"]
+    none = "CLAIM_HAS_NO_VALID_EVIDENCE"
+    assert got["unknown"][1] == [none, "UNKNOWN_EVIDENCE_ID"] and got["range"][1] == [none, "QUOTE_SPAN_OUT_OF_RANGE"]
+    assert got["twice"][1] == [none, "QUOTE_NOT_UNIQUE_LITERAL_SUBSTRING"] and got["null"][1] == [none, "UNKNOWN_EVIDENCE_ID"]
 
 
 def test_negation_is_whole_word(spark):
     got = spark.createDataFrame([("annotation of novel notes",), ("Not without 没有",)], "t string").select(E.negations(F.col("t")).alias("n")).collect()
-    assert got[0]["n"] == [] and got[1]["n"] == sorted(["not", "without", "没", "没有"])
+    assert got[0]["n"] == [] and got[1]["n"] == sorted(["not", "without", "没有"])
 
 
 def test_terms(spark):
