@@ -202,7 +202,9 @@ def matched(provider_records: DataFrame) -> DataFrame:
 
     for rule, fold_, lost, author, least, equal in RULES:
         source = folded if fold_ else records
-        met = pairs_within(_keys(source, lost, author, least), "key", "v").where("x.p != y.p").select("x", "y").distinct()
+        # Keys and what meets are cut off, so no pass computes them twice and every plan stays small.
+        keys = durable(_keys(source, lost, author, least))
+        met = durable(pairs_within(keys, "key", "v").where("x.p != y.p").select("x", "y").distinct())
         if slots is not None:  # before anything else is looked up
             for one, other in (("x", "y"), ("y", "x")):
                 met = met.join(slots, (F.col(f"{one}.r") == slots["r"]) & (F.col(f"{other}.p") == slots["p"]), "left_anti")
