@@ -29,9 +29,18 @@ def scan(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     return both.select(key, "source", ((F.length(low) - F.length(F.replace(low, F.lower("source"), F.lit("")))) / F.length("source")).cast("int").alias("times"))
 
 
-def drift(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """(unit_id, sources): terms in a source text whose target is missing from the translation."""
-    hits = units.join(F.broadcast(terms), F.contains(F.lower("source_text"), F.lower("source")) & ~F.contains(F.lower(F.coalesce("target_text", F.lit(""))), F.lower("target")))
+def drift(sources: DataFrame, targets: DataFrame, terms: DataFrame, on: list[str]) -> DataFrame:
+    """(unit_id, sources): terms in a source text whose target is missing from a translation at the same place.
+
+    ``sources`` holds unit_id, the place ``on`` and source_text, ``targets`` the place and
+    target_text; a null translation lacks every target. Either side is cut to its terms
+    before the two meet, and a place keeps each missing one once, so many texts on both
+    sides of one place never form pairs.
+    """
+    terms = F.broadcast(terms.select("source", "target").distinct())
+    said = sources.join(terms, F.contains(F.lower("source_text"), F.lower("source"))).select("unit_id", *on, "source", "target")
+    lost = targets.join(terms, ~F.contains(F.lower(F.coalesce("target_text", F.lit(""))), F.lower("target"))).select(*on, "source", "target").distinct()
+    hits = said.join(lost, [*on, "source", "target"], "left_semi")
     return hits.groupBy("unit_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 

@@ -161,9 +161,9 @@ def glossary_drift(spark, root):
     """Each block against the next of its version: terms the second one lost."""
     terms = spark.createDataFrame([("calibration", "decoder"), ("sparse", "robust")], "source string, target string")
     b = latest(table(spark, root, "blocks", "block_id", "paper_version_id", "block_index", "text", "ingested_at"), "block_id")
+    own = b.select(F.col("block_id").alias("unit_id"), "paper_version_id", "block_index", F.col("text").alias("source_text"))
     nxt = b.select("paper_version_id", (F.col("block_index") - 1).alias("block_index"), F.col("text").alias("target_text"))
-    units = b.join(nxt, ["paper_version_id", "block_index"]).select(F.col("block_id").alias("unit_id"), F.col("text").alias("source_text"), "target_text")
-    return M.drift(units, terms).select("unit_id", F.array_join("sources", ",").alias("sources"))
+    return M.drift(own, nxt, terms, ["paper_version_id", "block_index"]).select("unit_id", F.array_join("sources", ",").alias("sources"))
 
 
 def topic_alignment(spark, root):

@@ -56,3 +56,16 @@ def test_protect_round_trip(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", M.protect(F.col("t")))
     back = df.withColumn("b", M.restore(F.col("p.text"), F.col("p.tokens"))).collect()
     assert all(r["b"] == r["t"] for r in back)
+
+
+def test_drift_forms_no_pairs(spark):
+    """A place with many sources and translations costs their sum, not their product, and each lost term counts once."""
+    terms = spark.createDataFrame([("Sparse", "robust"), ("mesh", "Netz")], "source string, target string")
+    hot = spark.range(300_000)
+    sources = hot.select(F.concat(F.lit("h"), "id").alias("unit_id"), F.lit("v").alias("place"), F.lit("a SPARSE one").alias("source_text"))
+    sources = sources.union(spark.createDataFrame([("kept", "w", "sparse mesh"), ("both", "x", "sparse mesh"), ("null", "y", "mesh"), ("alone", "z", "mesh"), ("no place", None, "mesh"), ("no text", "x", None)], "unit_id string, place string, source_text string"))
+    targets = hot.select(F.lit("v").alias("place"), F.lit("Robust").alias("target_text")).union(spark.createDataFrame([("v", "weak")], "place string, target_text string"))
+    targets = targets.union(spark.createDataFrame([("w", "robust netz"), ("x", "robust"), ("x", "netz"), ("y", None), (None, "none")], "place string, target_text string"))
+    got = M.drift(sources, targets, terms, ["place"])
+    assert got.where("unit_id like 'h%' and sources = array('Sparse')").count() == 300_000
+    assert {r["unit_id"]: r["sources"] for r in got.where("unit_id not like 'h%'").collect()} == {"both": ["Sparse", "mesh"], "null": ["mesh"]}
