@@ -119,3 +119,28 @@ def test_cut_across_many_blocks(spark):
     rows += [("c", "w", 1, 1, "TEXT", "another half of a seg-", None)] + [(f"t{i}", "w", 1, 1 + i, "TEXT", "Whole text.", None) for i in range(1, 9)] + [("d", "w", 2, 10, "TEXT", "mentation is here.", None)]
     got = {r["block_id"]: r["paragraph"] for r in scans.paragraphs(spark.createDataFrame(rows, B)).collect()}
     assert got["a"] == "the first half of a segmentation" and got["b"] == "is here." and got["d"] == "mentation is here."
+
+
+def test_edits_from_both_ends():
+    """The two half walks find what the whole walk with ordinary edits finds, wherever the edit lies."""
+    words = ["retrieval", "retrievals", "modern", "margin", "margins", "merging", "kernel", "deterministic", "threshold", "plain"]
+    ahead, back = automaton.trie(words), automaton.trie(w[::-1] for w in words)
+    tokens = ["retreval", "etrieval", "retrievalx", "xretrieval", "retriewal", "rnargjn", "maring", "pla1n", "kerncl", "cletcrminjstic", "thresho", "x"]
+    for token in tokens + [w[:i] + c + w[j:] for w in ("margin", "threshold") for i in range(len(w) + 1) for j in (i, i + 1) for c in ("", "x")]:
+        for bound in (4, 6, 8):
+            assert automaton.edited(ahead, back, token, bound) == automaton.search(ahead, token, bound, plain=True), (token, bound)
+    assert automaton.edited(ahead, back, "retreval", 6)["retrieval"] == automaton.PLAIN_STEP
+    assert automaton.reach(6, plain=True) == (4, 3) and automaton.reach(4, plain=True)[1] >= 1
+
+
+def test_misread_by_an_ordinary_edit(spark):
+    """An edit that no confusion explains is a misread where both sides say so; a right word one edit away is none."""
+    rows = [(f"r{i}", f"we study the dense retrieval module for passages in part {i}") for i in range(45)]
+    rows += [("x1", "we study the dense retreval module for passages again"), ("x2", "here the dense retrievel module for passages ends")]
+    rows += [("s1", "many retrievals were timed"), ("s2", "the dense retrievals module for passages"), ("s3", "some retrievals were lost there"), ("s4", "both retrievals failed early on")]
+    rows += [("d1", "we study the dense retrieval4 module for passages"), ("w1", "retrival")]
+    blocks = spark.createDataFrame([(i, "v", 1, n, "TEXT", t, None) for n, (i, t) in enumerate(rows)], B)
+    assert {r["block_id"] for r in scans.found(blocks).where("kind = 'misread'").collect()} == {"x1", "x2"}
+    got = {r["block_id"]: r["paragraph"] for r in scans.paragraphs(blocks).collect()}
+    assert got["x1"] == "we study the dense retrieval module for passages again" and got["x2"] == "here the dense retrieval module for passages ends"
+    assert "retrievals" in got["s2"] and got["w1"] == "retrival" and "retrieval4" in got["d1"]
